@@ -9,6 +9,7 @@ control character. Lines that contain that character take an exact slower path.
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -194,8 +195,17 @@ class _Fold:
     def merge(self, raw_field: str, found: Column, when: Column) -> None:
         """Replace the raw field by the keys of a map; unknown keys go to ``extra``."""
         known = list(self.types)
+        # A key may hold NULL, which overwrites too; only then look at the keys.
+        nulls = self.temp("nulls")
+        self.add({nulls: when & F.exists(F.map_values(found), lambda v: v.isNull())})
         self.write({raw_field: F.lit(None).cast("string")}, when)
-        self.write({k: F.when(F.map_contains_key(found, k), found[k]).otherwise(self.value(k)) for k in known}, when)
+
+        def merged(k: str) -> Column:
+            got = F.try_element_at(found, F.lit(k))
+            old = self.value(k)
+            return F.when(q(nulls), F.when(F.map_contains_key(found, k), got).otherwise(old)).otherwise(F.coalesce(got, old))
+
+        self.write({k: merged(k) for k in known}, when)
         unknown = F.map_filter(found, lambda k, _: ~k.isin(known))
         if self.extra:
             older = F.map_filter(q("__extra"), lambda k, _: ~F.map_contains_key(found, k))
@@ -207,7 +217,7 @@ class _Fold:
     # -- result ------------------------------------------------------------
     def result(self, flags: bool) -> DataFrame:
         path = F.when(F.size(q("__path")) > 0, q("__path")).otherwise(F.array(F.lit(ROOT_TYPE)))
-        bad: list[Column] = []
+        bad: list[tuple[str, Column, Column]] = []
         columns = [q(c) for c in self.carried]
         columns += [F.element_at(path, -1).alias("event_type"), path.alias("match_path")]
         for fld, kind in {"data": "string", **self.types}.items():
@@ -215,21 +225,39 @@ class _Fold:
             typed = typed_value(raw, kind)
             columns.append(typed.alias(fld))
             if kind != "string" and fld in self.present:
-                bad.append(F.struct(F.lit(fld).alias("k"), F.when(typed.isNull(), raw).alias("v")))
+                bad.append((fld, raw, raw.isNotNull() & typed.isNull()))
         if self.extra:
             columns.append(q("__extra").alias("extra"))
         if bad:
-            failed = F.filter(F.array(*bad), lambda e: e["v"].isNotNull())
-            columns.append(F.map_from_entries(failed).alias("_bad_fields"))
+            entries = F.array(*[F.struct(F.lit(f).alias("k"), F.when(failed, raw).alias("v")) for f, raw, failed in bad])
+            some = bad[0][2]
+            for _, _, failed in bad[1:]:
+                some = some | failed
+            kept = F.map_from_entries(F.filter(entries, lambda e: e["v"].isNotNull()))
+            columns.append(F.when(some, kept).otherwise(F.create_map().cast(_MAP)).alias("_bad_fields"))
         if flags:
             columns += [q(f.column) for f in self.flags]
-        return self.df.select(*columns)
+        return sealed(self.df.select(*columns))
+
+
+def sealed(df: DataFrame) -> DataFrame:
+    """Keep later filters on parsed fields from sinking into the parse.
+
+    Catalyst moves a filter below a projection by copying the projected
+    expressions into it. Here that would run every regex a second time, and nest
+    copies in copies. Filters do not move past an observed metric, while column
+    pruning does; the metric (lines read) shows up in query progress. Filters on
+    carried columns (a partition, say) belong before the parse.
+    """
+    return df.observe("parsed-" + uuid.uuid4().hex[:12], F.count(F.lit(1)).alias("lines"))
 
 
 def typed_value(raw: Column, kind: str) -> Column:
     """Captured text as a declared type; NULL when it is not one."""
     if kind in ("int", "long"):
-        return F.when(F.rlike(raw, F.lit(r"\A[+-]?\d+\z")), raw).try_cast(SPARK_TYPES[kind])
+        # A cast would trim blanks, which are not part of a number here.
+        solid = (F.ascii(raw) > 32) & (F.ascii(F.substring(raw, -1, 1)) > 32)
+        return F.when(solid, raw).try_cast(SPARK_TYPES[kind])
     if kind in ("float", "double"):
         return raw.try_cast(SPARK_TYPES[kind])
     if kind in ("jsonmap", "map"):

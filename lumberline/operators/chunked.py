@@ -16,12 +16,18 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 HOUR_US = 3_600_000_000
 _CHUNK = "__chunk"
 _KEY = "__key"
 
 
+def slot_number(position: Column, width: int) -> Column:
+    """Floor division of a BIGINT, exact where a double quotient would round."""
+    return ((position - F.pmod(position, F.lit(width))) / F.lit(width)).cast("bigint")
+
+
 def _cut(df: DataFrame, keys: Sequence[str], order: str, width: float) -> tuple[DataFrame, list[str]]:
     """Add the chunk and the grouping key.
 
@@ -29,8 +35,10 @@ def _cut(df: DataFrame, keys: Sequence[str], order: str, width: float) -> tuple[
     of its own and the summary joins back by plain equality, on the very
     partitioning the local windows already have.
     """
-    out = df.withColumn(_CHUNK, F.floor(F.col(order) / F.lit(width)).cast("bigint"))
-    out = out.withColumn(_CHUNK, F.coalesce(_CHUNK, F.lit(-(2**62))))
+    whole = isinstance(df.schema[order].dataType, T.IntegralType)
+    at = F.col(order)
+    chunk = slot_number(at, int(width)) if whole else F.floor(at / F.lit(width)).cast("bigint")
+    out = df.withColumn(_CHUNK, F.coalesce(chunk, F.lit(-(2**62))))
     if not keys:
         return out, []
     return out.withColumn(_KEY, F.struct(*keys)), [_KEY]
@@ -155,7 +163,7 @@ def with_halo(df: DataFrame, order: str, width: int, reach: int, forward: bool =
     """
     if reach > width:
         raise ValueError("a chunk must be at least as wide as the reach of the frame")
-    own = F.floor(F.col(order) / F.lit(width)).cast("bigint")
+    own = slot_number(F.col(order), width)
     offset = F.col(order) - own * F.lit(width)
     if forward:
         near, other = offset >= F.lit(width - reach), own + 1

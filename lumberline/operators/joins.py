@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumberline.operators.chunked import HOUR_US, carry_last
+from lumberline.operators.chunked import HOUR_US, carry_last, slot_number
 
 _SLOT = "__slot"
 
@@ -30,11 +30,10 @@ def interval_join(
     """
     slot = max(before_us, after_us)
     lts, rts = F.col(left_ts), F.col(right_ts)
-    low = F.floor((lts - F.lit(before_us) + 1) / F.lit(slot)).cast("bigint")
-    high_end = lts + F.lit(max(after_us - 1, 0))
-    high = F.floor(high_end / F.lit(slot)).cast("bigint")
+    low = slot_number(lts - F.lit(before_us) + 1, slot)
+    high = slot_number(lts + F.lit(max(after_us - 1, 0)), slot)
     probes = left.withColumn(_SLOT, F.explode(F.sequence(low, high)))
-    stored = right.withColumn("__slot_r", F.floor(rts / F.lit(slot)).cast("bigint"))
+    stored = right.withColumn("__slot_r", slot_number(rts, slot))
     cond = F.col(_SLOT) == F.col("__slot_r")
     for a, b in on:
         cond = cond & (F.col(a) == F.col(b))
@@ -85,7 +84,7 @@ def nearest_in_range(
     if reach_us > widest_slot_us:
         return _nearest_far(left, right, on, left_ts, right_ts, reach_us, right_columns, ahead)
     payload = F.struct(F.col(right_ts).alias("__rts"), *[F.col(c) for c in right_columns])
-    slot_of = F.floor(F.col("__t") / F.lit(reach_us)).cast("bigint")
+    slot_of = slot_number(F.col("__t"), reach_us)
     names = list(left.columns)
     keyed_left = left.select(
         *[F.col(a).alias(f"__k{i}") for i, (a, _) in enumerate(on)],
@@ -229,14 +228,13 @@ def range_join(
     width: int,
     extra: Column | None = None,
 ) -> DataFrame:
-    """Non-equi join ``low <= left_value < high`` through buckets of ``width``.
+    """Non-equi join ``low <= left_value < high`` (BIGINTs) through buckets of ``width``.
 
     Each range is stored under every bucket it touches; each left row looks into
     exactly one, so the join is an equality join and pairs appear once.
     """
-    bucket = F.floor(F.col(left_value) / F.lit(width)).cast("bigint")
-    last = F.ceil(F.col(high) / F.lit(width)).cast("bigint") - 1
-    first = F.floor(F.col(low) / F.lit(width)).cast("bigint")
+    bucket = slot_number(F.col(left_value), width)
+    first, last = slot_number(F.col(low), width), slot_number(F.col(high) - 1, width)
     stored = right.filter(F.col(low) < F.col(high)).withColumn("__bucket_r", F.explode(F.sequence(first, last)))
     probes = left.withColumn("__bucket", bucket)
     cond = (F.col("__bucket") == F.col("__bucket_r")) & (F.col(left_value) >= F.col(low)) & (F.col(left_value) < F.col(high))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -14,6 +14,7 @@ from lumberline.operators.chunked import (
     previous_position,
     running,
     sequence_number,
+    slot_number,
 )
 
 
@@ -49,7 +50,7 @@ def length_batch(
 ) -> DataFrame:
     """Every complete run of ``n`` events; an unfinished last batch is not released."""
     numbered = sequence_number(df, keys, order, tie)
-    batch = F.floor((F.col("seq") - 1) / n).cast("bigint")
+    batch = slot_number(F.col("seq") - 1, n)
     grouped = numbered.withColumn("batch", batch).groupBy(*keys, "batch").agg(*aggregates, F.count(F.lit(1)).alias("__n"))
     return grouped.filter(F.col("__n") == n).drop("__n")
 
@@ -68,7 +69,7 @@ def sessions(
     row per local session; only those are merged across chunks. Their number per
     key is bounded by the time span, not by the number of events.
     """
-    chunk = F.floor(F.col(order) / F.lit(width)).cast("bigint")
+    chunk = slot_number(F.col(order), width)
     w = Window.partitionBy(*keys, "__chunk").orderBy(order)
     fresh = F.coalesce((F.col(order) - F.lag(order).over(w) >= F.lit(gap_us)).cast("int"), F.lit(1))
     local = (
@@ -169,7 +170,7 @@ def output_every(df: DataFrame, keys: Sequence[str], order: str, every_us: int,
     Adds ``output_us``, the end of the interval. ``snapshot`` repeats the latest
     row of every key at each later interval up to the last one of the stream.
     """
-    slot = F.floor(F.col(order) / F.lit(every_us)).cast("bigint")
+    slot = slot_number(F.col(order), every_us)
     slotted = df.withColumn("__slot", slot)
     end = ((F.col("__slot") + 1) * F.lit(every_us)).alias("output_us")
     cols = df.columns
@@ -188,5 +189,3 @@ def output_every(df: DataFrame, keys: Sequence[str], order: str, every_us: int,
     filled = last.withColumn("__until", until).withColumn("__slot", F.explode(F.sequence("__slot", "__until")))
     return filled.select(*cols, end)
 
-
-Frame = Callable[[object], dict[str, Column]]

@@ -9,7 +9,6 @@ control character. Lines that contain that character take an exact slower path.
 
 from __future__ import annotations
 
-import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -215,7 +214,24 @@ class _Fold:
             self.extra = True
 
     # -- result ------------------------------------------------------------
+    def seal(self, flags: bool) -> None:
+        """End the fold with a generator of exactly one row.
+
+        Catalyst moves filters below projections, and traces join keys through
+        them, by copying the projected expressions. Across this fold that would run
+        every regex again and nest copies in copies, until planning takes longer
+        than the work. Nothing is traced through the output of a generator, while
+        filters on carried columns (a partition, say) still reach the scan.
+        """
+        kept = ["__v_" + f for f in sorted(self.present)] + ["__path"]
+        kept += ["__extra"] if self.extra else []
+        kept += [f.column for f in self.flags] if flags else []
+        row = F.explode(F.array(F.struct(*[q(c) for c in kept]))).alias("__row")
+        sealed = self.df.select(*[q(c) for c in self.carried], row)
+        self.df = sealed.select(*[q(c) for c in self.carried], "__row.*")
+
     def result(self, flags: bool) -> DataFrame:
+        self.seal(flags)
         path = F.when(F.size(q("__path")) > 0, q("__path")).otherwise(F.array(F.lit(ROOT_TYPE)))
         bad: list[tuple[str, Column, Column]] = []
         columns = [q(c) for c in self.carried]
@@ -237,19 +253,7 @@ class _Fold:
             columns.append(F.when(some, kept).otherwise(F.create_map().cast(_MAP)).alias("_bad_fields"))
         if flags:
             columns += [q(f.column) for f in self.flags]
-        return sealed(self.df.select(*columns))
-
-
-def sealed(df: DataFrame) -> DataFrame:
-    """Keep later filters on parsed fields from sinking into the parse.
-
-    Catalyst moves a filter below a projection by copying the projected
-    expressions into it. Here that would run every regex a second time, and nest
-    copies in copies. Filters do not move past an observed metric, while column
-    pruning does; the metric (lines read) shows up in query progress. Filters on
-    carried columns (a partition, say) belong before the parse.
-    """
-    return df.observe("parsed-" + uuid.uuid4().hex[:12], F.count(F.lit(1)).alias("lines"))
+        return self.df.select(*columns)
 
 
 def typed_value(raw: Column, kind: str) -> Column:

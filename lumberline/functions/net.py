@@ -7,11 +7,12 @@ that string order is address order. Everything stays inside code generation.
 from __future__ import annotations
 
 import ipaddress
-from collections.abc import Sequence
-
+from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lumberline.functions.binding import let
+
 # Ranges that count as private (RFC 1918, link-local, loopback).
 PRIVATE_NETWORKS = (
     "172.16.0.0/12",
@@ -27,9 +28,9 @@ _V4_TAIL = r"\A(.*:)(\d{1,3}(?:\.\d{1,3}){3})\z"
 
 def ip4_number(ip: Column) -> Column:
     """Dotted quad -> BIGINT; NULL for NULL, empty or unparsable text."""
-    parts = F.split(ip, r"\.")
-    octet = [parts[i].cast("bigint") for i in range(4)]
-    return F.when(ip.rlike(_V4), octet[0] * 16777216 + octet[1] * 65536 + octet[2] * 256 + octet[3])
+    zero = F.lit(0).cast("bigint")
+    number = F.aggregate(F.split(ip, r"\."), zero, lambda acc, octet: acc * 256 + octet.cast("bigint"))
+    return F.when(ip.rlike(_V4), number)
 
 
 def ip_to_long(ip: Column) -> Column:
@@ -46,32 +47,35 @@ def ip4_text(number: Column) -> Column:
 def ip6_hex(ip: Column) -> Column:
     """IPv6 text (also ``::`` and dotted tails) -> 32 hex digits, else NULL."""
     text = F.lower(ip)
-    tail = F.regexp_extract(text, _V4_TAIL, 2)
-    tail_number = ip4_number(tail)
-    full = F.when(tail == "", text).when(
-        tail_number.isNotNull(),
-        F.concat(
-            F.regexp_extract(text, _V4_TAIL, 1),
-            F.lower(F.hex(F.shiftright(tail_number, 16))),
-            F.lit(":"),
-            F.lower(F.hex(tail_number.bitwiseAND(F.lit(65535)))),
-        ),
-    )
-    halves = F.split(full, "::", -1)
+
+    def with_hex_tail(number: Column) -> Column:
+        high, low = F.shiftright(number, 16), number.bitwiseAND(F.lit(65535))
+        return F.concat(
+            F.regexp_extract(text, _V4_TAIL, 1), F.lower(F.hex(high)), F.lit(":"), F.lower(F.hex(low))
+        )
+
+    dotted = let(ip4_number(F.regexp_extract(text, _V4_TAIL, 2)), with_hex_tail)
+    full = F.when(text.contains("."), dotted).otherwise(text)
 
     def groups(side: Column) -> Column:
         return F.when(side == "", F.array().cast("array<string>")).otherwise(F.split(side, ":", -1))
 
-    def built(halves: Column) -> Column:
-        left = groups(halves[0])
+    def sides(halves: Column) -> Column:
         right = F.when(F.size(halves) == 2, groups(F.get(halves, F.lit(1)))).otherwise(F.array().cast("array<string>"))
-        missing = F.lit(8) - F.size(left) - F.size(right)
-        fits = F.when(F.size(halves) == 1, missing == 0).when(F.size(halves) == 2, missing >= 1).otherwise(F.lit(False))
-        filled = F.concat(left, F.array_repeat(F.lit("0"), F.greatest(missing, F.lit(0))), right)
-        digits = F.forall(filled, lambda g: g.rlike(r"\A[0-9a-f]{1,4}\z"))
-        return F.when(fits & digits, F.array_join(F.transform(filled, lambda g: F.lpad(g, 4, "0")), ""))
+        return F.struct(groups(halves[0]).alias("left"), right.alias("right"), F.size(halves).alias("n"))
 
-    return F.when(ip.contains(":"), built(halves))
+    def filled(s: Column) -> Column:
+        missing = F.lit(8) - F.size(s["left"]) - F.size(s["right"])
+        fits = F.when(s["n"] == 1, missing == 0).otherwise((s["n"] == 2) & (missing >= 1))
+        zeros = F.array_repeat(F.lit("0"), F.greatest(missing, F.lit(0)))
+        return F.when(fits, F.concat(s["left"], zeros, s["right"]))
+
+    def joined(all_groups: Column) -> Column:
+        digits = F.forall(all_groups, lambda g: g.rlike(r"\A[0-9a-f]{1,4}\z"))
+        return F.when(digits, F.array_join(F.transform(all_groups, lambda g: F.lpad(g, 4, "0")), ""))
+
+    built = let(let(let(F.split(full, "::", -1), sides), filled), joined)
+    return F.when(ip.contains(":"), built)
 
 
 def network_bounds(network: str) -> tuple[int, int, int, int]:
@@ -82,25 +86,31 @@ def network_bounds(network: str) -> tuple[int, int, int, int]:
 
 def ipin(ip: Column, *networks: str) -> Column:
     """TRUE when ``ip`` lies in one of the networks; NULL, empty and bad text are FALSE."""
-    number, hexed = ip4_number(ip), None
-    tests: list[Column] = []
-    for network in networks:
-        version, lo, hi, _ = network_bounds(network)
-        if version == 4:
-            tests.append(number.between(F.lit(lo), F.lit(hi)))
-        else:
-            hexed = ip6_hex(ip) if hexed is None else hexed
-            tests.append(hexed.between(F.lit(f"{lo:032x}"), F.lit(f"{hi:032x}")))
-    found = tests[0]
-    for test in tests[1:]:
-        found = found | test
-    return F.coalesce(found, F.lit(False))
+    bounds = [network_bounds(n) for n in networks]
+
+    four = [(F.lit(lo), F.lit(hi)) for version, lo, hi, _ in bounds if version == 4]
+    six = [(F.lit(f"{lo:032x}"), F.lit(f"{hi:032x}")) for version, lo, hi, _ in bounds if version == 6]
+    found = F.lit(False)
+    for ranges, known in ((four, ip4_number), (six, ip6_hex)):
+        if ranges:
+            found = found | F.coalesce(let(known(ip), _within(ranges)), F.lit(False))
+    return found
+
+
+def _within(ranges: list[tuple[Column, Column]]) -> Callable[[Column], Column]:
+    def test(value: Column) -> Column:
+        inside = F.lit(False)
+        for lo, hi in ranges:
+            inside = inside | value.between(lo, hi)
+        return inside
+
+    return test
 
 
 def ipin_column(ip: Column, network: Column) -> Column:
     """``ipin`` for IPv4 with the network given as a column."""
-    bounds = netrange(network)
-    return F.coalesce(ip4_number(ip).between(bounds["lo_num"], bounds["hi_num"]), F.lit(False))
+    within = let(netrange(network), lambda r: ip4_number(ip).between(r["lo_num"], r["hi_num"]))
+    return F.coalesce(within, F.lit(False))
 
 
 def isprivateip(ip: Column) -> Column:
@@ -118,17 +128,19 @@ isremoteip = notprivateip
 
 def netrange(network: Column) -> Column:
     """IPv4 CIDR text -> struct(lo, hi, lo_num, hi_num); NULL when it is not one."""
-    base = ip4_number(F.substring_index(network, "/", 1))
     length = F.when(network.contains("/"), F.substring_index(network, "/", -1).try_cast("int")).otherwise(F.lit(32))
-    size = F.pow(F.lit(2.0), F.lit(32) - length).cast("bigint")
-    lo = base - F.pmod(base, size)
-    hi = lo + size - 1
-    return F.when(
-        base.isNotNull() & length.between(0, 32),
-        F.struct(ip4_text(lo).alias("lo"), ip4_text(hi).alias("hi"), lo.alias("lo_num"), hi.alias("hi_num")),
-    )
 
+    def ranged(p: Column) -> Column:
+        lo = p["base"] - F.pmod(p["base"], p["size"])
+        return F.struct(lo.alias("lo"), (lo + p["size"] - 1).alias("hi"))
 
-def in_any(ip: Column, networks: Sequence[str]) -> Column:
-    """``ipin`` over a short literal list of networks."""
-    return ipin(ip, *networks) if networks else F.lit(False)
+    def shown(r: Column) -> Column:
+        return F.struct(
+            ip4_text(r["lo"]).alias("lo"), ip4_text(r["hi"]).alias("hi"), r["lo"].alias("lo_num"), r["hi"].alias("hi_num")
+        )
+
+    base = ip4_number(F.substring_index(network, "/", 1))
+    size = F.pow(F.lit(2.0), F.lit(32) - length).cast("bigint")
+    parts = F.struct(base.alias("base"), F.when(length.between(0, 32), size).alias("size"))
+    found = let(let(parts, ranged), lambda r: F.when(r["lo"].isNotNull(), shown(r)))
+    return found

@@ -8,6 +8,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lumberline.functions.binding import let
+
 _PLACEHOLDER = re.compile(r"\$\{([^${}]+)\}")
 _CSV_END = "\u0001"
 
@@ -65,13 +67,15 @@ def csv_values(text: Column, count: int) -> Column:
     """
     schema = ", ".join(f"c{i} string" for i in range(count + 1))
     row = F.from_csv(F.concat(text, F.lit("," + _CSV_END)), schema)
-    values = F.array(*[row[f"c{i}"] for i in range(count + 1)])
-    end = F.array_position(values, _CSV_END)
-    kept = F.when(end > 0, end - 1).otherwise(F.lit(count))
-    return F.transform(
-        F.slice(values, 1, count),
-        lambda v, i: F.when(i < kept, F.coalesce(v, F.lit(""))),
-    )
+
+    def kept(values: Column) -> Column:
+        end = F.array_position(values, _CSV_END)
+        return F.transform(
+            F.slice(values, 1, count),
+            lambda v, i: F.when((end == 0) | (i < end - 1), F.coalesce(v, F.lit(""))),
+        )
+
+    return let(let(row, lambda r: F.array(*[r[f"c{i}"] for i in range(count + 1)])), kept)
 
 
 def render_template(template: str, schema: T.StructType) -> Column:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from lumberline.functions.times import epoch_micros
 from lumberline.plans.patterns import PatternSet
 from lumberline.session import prepare
+from lumberline.sources.lines import spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -63,7 +64,7 @@ def line_of(props: Column | str = "props") -> Column:
 
 
 def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return events(spark, sf_dir).select(line_of().alias("data"))
+    return spread(events(spark, sf_dir)).select(line_of().alias("data"))
 
 
 def log_lines_stream(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,6 +8,7 @@ from lumberline.functions import text as tx
 from lumberline.functions.times import event_time_millis
 from lumberline.plans.parse import events_of, parse, parse_inputs, parse_stats
 from lumberline.plans.patterns import PatternSet
+from lumberline.sources.lines import spread
 from lumberline.queries.base import (
     APP,
     APP_TYPES,
@@ -27,7 +28,7 @@ def path_text():
 
 
 def document_lines(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"))
     return docs.select("doc_id", F.explode(F.split("text", "\n", -1)).alias("data"))
 
 
@@ -108,7 +109,7 @@ def pattern_cond(spark, sf_dir):
 )
 def pattern_softcond(spark, sf_dir):
     """Lines with a host must fit it; bare lines have no host and pass."""
-    ev = events(spark, sf_dir)
+    ev = spread(events(spark, sf_dir))
     lines = ev.select(F.col("event_id").alias("line_no"), line_of().alias("data")).unionByName(
         ev.select((-1 - F.col("event_id")).alias("line_no"), F.concat(F.lit("plain "), "action").alias("data"))
     )
@@ -149,7 +150,7 @@ def pattern_alternatives(spark, sf_dir):
             }
         ]
     )
-    tagged = events(spark, sf_dir).select(
+    tagged = spread(events(spark, sf_dir)).select(
         F.when(F.col("action") == "view", F.concat(line_of(), F.lit(" is-view"))).otherwise(line_of()).alias("data")
     )
     return parse(tagged, patterns).select("pid", "user_id", "action", path_text())
@@ -220,7 +221,7 @@ def auto_int(spark, sf_dir):
 )
 def json_merge(spark, sf_dir):
     """Broken JSON leaves its type open for the next sibling; captures survive."""
-    ev = events(spark, sf_dir)
+    ev = spread(events(spark, sf_dir))
     props = F.when(F.col("action") == "error", "{broken").otherwise(
         F.concat(F.regexp_extract("props", r"\A(.*)\}\z", 1), F.lit(', "why": "'), "action", F.lit('"}'))
     )
@@ -247,7 +248,7 @@ def json_nested(spark, sf_dir):
               CAST(user_id AS VARCHAR) || ',x' AS quoted_part, '' AS empty_part, CAST(NULL AS VARCHAR) AS missing FROM events""",
 )
 def csv_field(spark, sf_dir):
-    ev = events(spark, sf_dir)
+    ev = spread(events(spark, sf_dir))
     record = F.concat(F.col("event_id").cast("string"), F.lit(","), "action", F.lit(',"'), F.col("user_id").cast("string"), F.lit(',x",'))
     patterns = PatternSet(
         [
@@ -334,7 +335,7 @@ def field_replace(spark, sf_dir):
 )
 def src_time(spark, sf_dir):
     """A second timestamp inside the line, two hours east; error lines hold none."""
-    ev = events(spark, sf_dir)
+    ev = spread(events(spark, sf_dir))
     stamp = F.when(F.col("action") == "error", "never").otherwise(
         F.concat(F.date_format("ts", "dd/MMM/yyyy:HH:mm:ss"), F.lit(" +0200"))
     )

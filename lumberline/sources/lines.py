@@ -30,6 +30,16 @@ def scan_lines(spark: SparkSession, paths: str | Sequence[str], position: bool =
     )
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use every core on an input of few splits; an input of many stays as it is.
+
+    Parsing is pure CPU work, and a small (or unsplittable) file would otherwise
+    be parsed by one task.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def scan_sniffed(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     """Lines of files that may be gzip whatever they are called (told by magic bytes).
 

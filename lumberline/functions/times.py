@@ -51,6 +51,9 @@ def parse_millis(text: Column, fmt: str, compat_hh: bool = False) -> Column:
     """
     spark_fmt, weekday = java_format(fmt)
     value = F.regexp_replace(text, r"\A\p{L}+[,\s]*", "") if weekday else text
+    if spark_fmt.endswith("[XXX][XX][X]"):
+        # The sections are optional one by one; some offset must be there.
+        value = F.when(F.rlike(value, F.lit(r"(?:Z|[+-]\d{2}(?::?\d{2})?)\z")), value)
     millis = F.unix_millis(F.try_to_timestamp(value, F.lit(spark_fmt)))
     if not compat_hh:
         return millis

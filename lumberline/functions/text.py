@@ -99,7 +99,8 @@ def render_template(template: str, schema: T.StructType) -> Column:
 def _lookup(path: str, schema: T.StructType) -> Column | None:
     head, *rest = path.split(".")
     if path in schema.fieldNames():
-        return F.col(f"`{path}`")
+        nested = isinstance(schema[path].dataType, (T.StructType, T.MapType))
+        return None if nested else F.col(f"`{path}`")
     if head not in schema.fieldNames():
         return None
     kind, value = schema[head].dataType, F.col(f"`{head}`")

@@ -37,16 +37,17 @@ def q(name: str) -> Column:
 
 
 def match_parts(source: Column, grok: Grok) -> Column:
-    """ARRAY whose item ``i`` is the ``i``-th capture; NULL or one item when unmatched."""
+    """ARRAY whose item ``i`` is the ``i``-th capture; a single item when unmatched."""
+    if not grok.captures:
+        hit = F.rlike(source, F.lit(grok.regex))
+        return F.when(hit, F.array(F.lit(""), F.lit(""))).otherwise(F.array(F.lit("")))
     fast = F.split(
         F.regexp_replace(source, grok.regex, "".join(f"{_CUT}${c.group}" for c in grok.captures)),
         _CUT,
         -1,
     )
-    slow = F.when(
-        F.rlike(source, F.lit(grok.regex)),
-        F.array(F.lit(""), *[F.regexp_extract(source, grok.regex, c.group) for c in grok.captures]),
-    )
+    captures = [F.regexp_extract(source, grok.regex, c.group) for c in grok.captures]
+    slow = F.when(F.rlike(source, F.lit(grok.regex)), F.array(F.lit(""), *captures)).otherwise(F.array(F.lit("")))
     return F.when(F.contains(source, F.lit(_CUT)), slow).otherwise(fast)
 
 
@@ -62,6 +63,7 @@ class _Fold:
         self.types = patterns.field_types()
         self.step = 0
         self.flags: list[Flag] = []
+        self.flag_values: dict[str, Column] = {}
         self.present = {"data"}
         self.extra = False
         self.carried = [c for c in df.columns if c != line]
@@ -79,11 +81,11 @@ class _Fold:
         if columns:
             self.df = self.df.withColumns(columns)
 
-    def write(self, values: dict[str, Column], when: Column) -> None:
-        columns = {}
-        for name, new in values.items():
-            columns["__v_" + name] = F.when(when, new).otherwise(self.value(name))
-        self.add(columns)
+    def written(self, values: dict[str, Column], when: Column) -> dict[str, Column]:
+        return {"__v_" + n: F.when(when, new).otherwise(self.value(n)) for n, new in values.items()}
+
+    def write(self, values: dict[str, Column], when: Column, **more: Column) -> None:
+        self.add({**self.written(values, when), **more})
         self.present |= set(values)
 
     def temp(self, label: str) -> str:
@@ -91,127 +93,130 @@ class _Fold:
         return f"__{label}{self.step}"
 
     # -- the walk ----------------------------------------------------------
+    # A pattern adds two projections: its match, then everything it writes. Flags
+    # (tried, hit, level still open) are cheap expressions over stored matches.
     def level(self, nodes: list[Node], gate: Column, trail: tuple[str, ...]) -> None:
         open_ = gate
         for node in nodes:
             if node.name in trail or not node.patterns or node.source not in self.present:
                 continue
             matched, ok = self.visit(node, open_, trail)
-            name = self.temp("open")
-            self.add({name: open_ & ~(matched & ok)})
-            open_ = q(name)
+            open_ = open_ & ~(matched if ok is None else matched & ok)
 
-    def visit(self, node: Node, open_: Column, trail: tuple[str, ...]) -> tuple[Column, Column]:
-        tried = self.temp("try")
-        allowed = open_ & self.value(node.source).isNotNull()
+    def visit(self, node: Node, open_: Column, trail: tuple[str, ...]) -> tuple[Column, Column | None]:
+        gate = open_ & self.value(node.source).isNotNull()
         for fld, regex in node.cond.items():
-            allowed = allowed & F.coalesce(full_match(self.value(fld), regex), F.lit(False))
+            gate = gate & F.coalesce(full_match(self.value(fld), regex), F.lit(False))
         for fld, regex in node.softcond.items():
-            allowed = allowed & F.coalesce(full_match(self.value(fld), regex), F.lit(True))
-        self.add({tried: allowed})
-        self.flags.append(Flag("tried", node.name, tried))
-
-        hits = [self.apply(node, g, q(tried)) for g in node.patterns]
-        matched = self.temp("hit")
-        any_hit = hits[0]
-        for hit in hits[1:]:
-            any_hit = any_hit | hit
-        none = F.array().cast("array<string>")
-        names = [F.when(hit, F.array(F.lit(node.name))).otherwise(none) for hit in hits]
-        self.add({matched: any_hit, "__path": F.concat(q("__path"), *names)})
-        self.flags.append(Flag("matched", node.name, matched))
-
-        for g in node.optional:
-            self.apply(node, g, q(matched))
-        self.level(node.children, q(matched), (*trail, node.name))
-        return q(matched), self.finish(node, q(matched))
-
-    def apply(self, node: Node, grok: Grok, gate: Column) -> Column:
-        """Match one expression and write its captures; returns the hit flag."""
-        source = self.value(node.source)
-        if not grok.captures:
-            hit = self.temp("m")
-            self.add({hit: gate & F.rlike(source, F.lit(grok.regex))})
-            return q(hit)
-        parts, hit = self.temp("p"), self.temp("m")
-        self.add({parts: F.when(gate, match_parts(source, grok))})
+            gate = gate & F.coalesce(full_match(self.value(fld), regex), F.lit(True))
+
+        matched: Column | None = None
+        for i, grok in enumerate(node.patterns):
+            name, hit = self.match(node, grok, gate)
+            if i == 0:
+                # Later expressions are tried exactly when the first one was.
+                gate = q(name).isNotNull()
+                self.flag("tried", node, gate)
+            self.capture(name, grok, hit, path=node.name)
+            matched = hit if matched is None else matched | hit
+        if len(node.patterns) > 1:
+            name = self.temp("hit")
+            self.add({name: matched})
+            matched = q(name)
+        self.flag("matched", node, matched)
+        for grok in node.optional:
+            name, hit = self.match(node, grok, matched)
+            self.capture(name, grok, hit)
+        self.level(node.children, matched, (*trail, node.name))
+        return matched, self.finish(node, matched)
+
+    def flag(self, counter: str, node: Node, value: Column) -> None:
+        name = f"__flag{len(self.flags)}"
+        self.flags.append(Flag(counter, node.name, name))
+        self.flag_values[name] = value
+
+    def match(self, node: Node, grok: Grok, gate: Column) -> tuple[str, Column]:
+        """Store the match of one expression (NULL where it was not tried)."""
+        name = self.temp("p")
+        self.add({name: F.when(gate, match_parts(self.value(node.source), grok))})
+        return name, F.coalesce(F.size(q(name)) > 1, F.lit(False))
+
+    def capture(self, name: str, grok: Grok, hit: Column, path: str | None = None) -> None:
+        """Write the captures of a match, and its type into the path."""
         values: dict[str, Column] = {}
         for i, capture in enumerate(grok.captures, start=1):
-            got = q(parts)[i]
+            got = q(name)[i]
             if capture.optional:
                 got = F.nullif(got, F.lit(""))
             # A name that occurs twice keeps its last value that is set.
             values[capture.name] = F.coalesce(got, values[capture.name]) if capture.name in values else got
-        matched = gate & (F.size(q(parts)) > 1)
-        self.add({hit: F.coalesce(matched, F.lit(False))})
-        self.write(values, q(hit))
-        return q(hit)
+        more = {}
+        if path is not None:
+            more["__path"] = F.when(hit, F.array_append(q("__path"), F.lit(path))).otherwise(q("__path"))
+        self.write(values, hit, **more)
 
-    def finish(self, node: Node, matched: Column) -> Column:
+    def finish(self, node: Node, matched: Column) -> Column | None:
         """Structured fields, replacements and source time of a matched type.
 
         Runs on the way up, after the children. Returns the flag that lets the
-        type close its level: a broken JSON or url-args field leaves it open.
+        type close its level (None: always): a broken JSON or url-args field leaves
+        it open.
         """
-        ok = F.lit(True)
+        done, good = matched, None
         if node.json in self.present:
-            raw, parsed = self.value(node.json), self.temp("json")
-            self.add({parsed: F.from_json(F.when(matched, raw), _MAP)})
-            good, seen = self.temp("ok"), self.temp("deser")
-            self.add({good: raw.isNull() | q(parsed).isNotNull(), seen: matched & raw.isNotNull()})
-            self.flags.append(Flag("desercount", node.name, seen))
-            ok = q(good)
+            raw, parsed, good, seen = self.value(node.json), self.temp("json"), self.temp("ok"), self.temp("deser")
+            self.add({parsed: F.from_json(F.when(matched, raw), _MAP), seen: matched & raw.isNotNull()})
+            self.flag("desercount", node, q(seen))
+            nulls = F.exists(F.map_values(q(parsed)), lambda v: v.isNull())
+            self.add({good: ~q(seen) | q(parsed).isNotNull(), "__nulls": F.coalesce(nulls, F.lit(False))})
+            done = matched & q(good)
             if not node.json_nested:
                 self.merge(node.json, q(parsed), matched & q(parsed).isNotNull())
         if node.csv in self.present and node.csv_fields:
             row = self.temp("csv")
-            self.add({row: F.when(matched & ok, tx.csv_values(self.value(node.csv), len(node.csv_fields)))})
-            self.write(
-                {f: F.coalesce(q(row)[i], self.value(f)) for i, f in enumerate(node.csv_fields)},
-                matched & ok,
-            )
+            self.add({row: F.when(done, tx.csv_values(self.value(node.csv), len(node.csv_fields)))})
+            self.write({f: F.coalesce(q(row)[i], self.value(f)) for i, f in enumerate(node.csv_fields)}, done)
         if node.urlargs in self.present:
-            raw, pairs = self.value(node.urlargs), self.temp("args")
-            self.add({pairs: F.when(matched & ok, tx.url_pairs(raw))})
-            good = self.temp("ok")
-            self.add({good: ok & F.coalesce(tx.url_pairs_valid(q(pairs)), F.lit(True))})
-            ok = q(good)
+            raw, pairs, fine = self.value(node.urlargs), self.temp("args"), self.temp("ok")
+            self.add({pairs: F.when(done, tx.url_pairs(raw))})
+            valid = F.coalesce(tx.url_pairs_valid(q(pairs)), F.lit(True))
+            self.add({fine: valid if good is None else q(good) & valid})
+            good = fine
+            done = matched & q(good)
             if not node.urlargs_nested:
                 merged = self.temp("argmap")
-                self.add({merged: F.when(ok, tx.url_map(q(pairs)))})
-                self.merge(node.urlargs, q(merged), matched & ok & q(merged).isNotNull())
+                self.add({merged: F.when(done, tx.url_map(q(pairs)))})
+                self.add({"__nulls": F.coalesce(F.exists(F.map_values(q(merged)), lambda v: v.isNull()), F.lit(False))})
+                self.merge(node.urlargs, q(merged), done & q(merged).isNotNull())
         for rule in node.replace:
             if rule.get("field") in self.present:
                 fld = rule["field"]
                 new = F.regexp_replace(self.value(fld), rule["regex"], rule["replacement"])
-                self.write({fld: new}, matched & ok)
+                self.write({fld: new}, done)
         if node.srctime and node.srctime[0] in self.present:
             millis = parse_millis(self.value(node.srctime[0]), node.srctime[1]).cast("string")
             target = "src_logts_timestamp"
-            self.write({target: F.coalesce(millis, self.value(target))}, matched & ok)
-        return ok
+            self.write({target: F.coalesce(millis, self.value(target))}, done)
+        return None if good is None else q(good)
 
     def merge(self, raw_field: str, found: Column, when: Column) -> None:
         """Replace the raw field by the keys of a map; unknown keys go to ``extra``."""
         known = list(self.types)
-        # A key may hold NULL, which overwrites too; only then look at the keys.
-        nulls = self.temp("nulls")
-        self.add({nulls: when & F.exists(F.map_values(found), lambda v: v.isNull())})
-        self.write({raw_field: F.lit(None).cast("string")}, when)
 
         def merged(k: str) -> Column:
+            # A key may hold NULL, which overwrites too; only then look at the keys.
             got = F.try_element_at(found, F.lit(k))
-            old = self.value(k)
-            return F.when(q(nulls), F.when(F.map_contains_key(found, k), got).otherwise(old)).otherwise(F.coalesce(got, old))
+            old = self.value(k) if k != raw_field else F.lit(None).cast("string")
+            return F.when(q("__nulls"), F.when(F.map_contains_key(found, k), got).otherwise(old)).otherwise(F.coalesce(got, old))
 
-        self.write({k: merged(k) for k in known}, when)
         unknown = F.map_filter(found, lambda k, _: ~k.isin(known))
         if self.extra:
             older = F.map_filter(q("__extra"), lambda k, _: ~F.map_contains_key(found, k))
-            self.add({"__extra": F.when(when, F.map_concat(older, unknown)).otherwise(q("__extra"))})
+            extra = F.when(when, F.map_concat(older, unknown)).otherwise(q("__extra"))
         else:
-            self.add({"__extra": F.when(when, unknown).otherwise(F.create_map().cast(_MAP))})
+            extra = F.when(when, unknown).otherwise(F.create_map().cast(_MAP))
             self.extra = True
+        self.write({k: merged(k) for k in {raw_field: None, **dict.fromkeys(known)}}, when, __extra=extra)
 
     # -- result ------------------------------------------------------------
     def seal(self, flags: bool) -> None:
@@ -225,8 +230,9 @@ class _Fold:
         """
         kept = ["__v_" + f for f in sorted(self.present)] + ["__path"]
         kept += ["__extra"] if self.extra else []
-        kept += [f.column for f in self.flags] if flags else []
-        row = F.explode(F.array(F.struct(*[q(c) for c in kept]))).alias("__row")
+        values = [q(c) for c in kept]
+        values += [v.alias(n) for n, v in self.flag_values.items()] if flags else []
+        row = F.explode(F.array(F.struct(*values))).alias("__row")
         sealed = self.df.select(*[q(c) for c in self.carried], row)
         self.df = sealed.select(*[q(c) for c in self.carried], "__row.*")
 

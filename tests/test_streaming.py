@@ -12,17 +12,18 @@ from lumberline.streaming.runner import LateRows, drain, drain_batches, from_tim
 
 SECOND = 1_000_000
 FAR = 10_000_000  # closes every window at the end of a test
+BASE = 7_000  # time 0 would count as late from the start
 
 
 @pytest.fixture(scope="module")
 def source(spark):
     """Events in four files, as a batch frame and as a stream (one file per batch)."""
-    rows = [(i, f"k{i % 3}", (i * 7 + (i * i) % 5) * SECOND, "aabab"[(i // 3) % 5]) for i in range(120)]
+    rows = [(i, f"k{i % 3}", (BASE + i * 7 + (i * i) % 5) * SECOND, "aabab"[(i // 3) % 5]) for i in range(120)]
     rows.append((999, "end", FAR * SECOND, "end"))
     path = fresh_path(spark, "stream-source")
     df = spark.createDataFrame(rows, "id int, key string, us long, kind string").withColumn("time", F.timestamp_micros("us"))
     for lo in range(0, 121, 31):
-        df.filter((F.col("us") >= lo * 7 * SECOND) & (F.col("us") < (lo + 31) * 7 * SECOND)).coalesce(1).write.mode("append").parquet(path)
+        df.filter((F.col("us") >= (BASE + lo * 7) * SECOND) & (F.col("us") < (BASE + (lo + 31) * 7) * SECOND)).coalesce(1).write.mode("append").parquet(path)
     df.filter("id = 999").coalesce(1).write.mode("append").parquet(path)
 
     def stream():

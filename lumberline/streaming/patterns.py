@@ -77,12 +77,19 @@ class _LastValue(StatefulProcessor):
                     values = state[1:] if state else [None] * len(self.right)
                     found.append([row[c] for c in self.left] + list(values))
                 elif state is None or row["at_us"] >= state[0]:
-                    state = [row["at_us"]] + [row[c] for c in self.right]
+                    state = [self.restored(f, row[f.name]) for f in self.schema.fields]
             if found:
-                yield pd.DataFrame(found, columns=self.left + self.right)
+                yield pd.DataFrame(found, columns=self.left + self.right, dtype=object)
         if state is not None:
             self.last.update(tuple(state))
 
+    @staticmethod
+    def restored(field: T.StructField, value):
+        """Undo what pandas does to a column with gaps: NaN for NULL, floats for integers."""
+        if value is None or value != value:
+            return None
+        return int(value) if isinstance(field.dataType, T.IntegralType) else value
+
     def close(self) -> None:
         pass
 

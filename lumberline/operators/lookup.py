@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumberline.functions.net import ip4_number
+from lumberline.functions.net import ip4_number, ip6_hex
 
 Keys = Sequence[tuple[str, str]]
 
@@ -90,14 +90,76 @@ def cidr_join(
     event side is neither multiplied nor regrouped afterwards.
     """
     index = network_index(networks, columns, network)
-    number = ip4_number(F.col(ip))
-    probed = events.withColumn("__ip", number).withColumn("__ip_bucket", F.shiftright("__ip", _PREFIX_BITS))
+    probed = events.withColumn("__ip", ip4_number(F.col(ip)))
+    # Rows without an address match nothing; spread them instead of meeting in one task.
+    nowhere = -1 - F.spark_partition_id().cast("bigint")
+    probed = probed.withColumn("__ip_bucket", F.coalesce(F.shiftright("__ip", _PREFIX_BITS), nowhere))
     joined = probed.join(index, F.col("__ip_bucket") == F.col("__bucket"), "left")
     inside = F.filter("__candidates", lambda c: F.col("__ip").between(c["lo"], c["hi"]))
     best = joined.withColumn("__best", F.get(inside, F.lit(0)))
     return best.select(*events.columns, *[F.col(f"__best.{c}").alias(c) for c in columns])
 
 
+_WIDE_LENGTH = 20
+
+
+def network_index6(networks: DataFrame, columns: Sequence[str], network: str = "network") -> tuple[DataFrame, DataFrame]:
+    """Two indexes of the IPv6 networks: by /32 bucket, and by /4 for the few very wide ones."""
+    length = F.substring_index(F.col(network), "/", -1).try_cast("int")
+    parsed = networks.withColumns({"__base": ip6_hex(F.substring_index(F.col(network), "/", 1)), "__len": length})
+    parsed = parsed.filter(F.col("__base").isNotNull() & F.col("__len").between(0, 128))
+    whole, rest = F.shiftright("__len", 2), F.col("__len").bitwiseAND(F.lit(3))
+    head = F.substr("__base", F.lit(1), whole)
+    digit = F.conv(F.substr("__base", whole + 1, F.lit(1)), 16, 10).cast("int")
+    free = F.call_function("shiftright", F.lit(15), rest)
+    low_digit = F.when(rest > 0, F.lower(F.hex(digit - digit.bitwiseAND(free)))).otherwise(F.lit(""))
+    high_digit = F.when(rest > 0, F.lower(F.hex(digit.bitwiseOR(free)))).otherwise(F.lit(""))
+    ranged = (
+        parsed.withColumns(
+            {
+                "__lo": F.rpad(F.concat(head, low_digit), 32, "0"),
+                "__hi": F.rpad(F.concat(head, high_digit), 32, "f"),
+            }
+        )
+        .groupBy("__lo", "__hi", "__len")
+        .agg(F.min(F.struct(*columns)).alias("__info"))
+        .select("__lo", "__hi", "__len", "__info.*")
+    )
+    entry = F.struct((-F.col("__len")).alias("rank"), F.col("__lo").alias("lo"), F.col("__hi").alias("hi"), *columns)
+
+    def index(part: DataFrame, digits: int, label: str) -> DataFrame:
+        first, last = (F.conv(F.substring(c, 1, digits), 16, 10).cast("bigint") for c in ("__lo", "__hi"))
+        return (
+            part.withColumn(f"__bucket_{label}", F.explode(F.sequence(first, last)))
+            .groupBy(f"__bucket_{label}")
+            .agg(F.array_sort(F.collect_list(entry)).alias(f"__candidates_{label}"))
+        )
+
+    wide = F.col("__len") < _WIDE_LENGTH
+    return index(ranged.filter(~wide), 8, "narrow"), index(ranged.filter(wide), 1, "wide")
+
+
+def cidr_join6(
+    events: DataFrame, ip: str, networks: DataFrame, columns: Sequence[str], network: str = "network"
+) -> DataFrame:
+    """:func:`cidr_join` for IPv6 addresses and networks."""
+    narrow, wide = network_index6(networks, columns, network)
+    nowhere = -1 - F.spark_partition_id().cast("bigint")
+    probed = events.withColumn("__ip", ip6_hex(F.col(ip)))
+    for digits, label in ((8, "narrow"), (1, "wide")):
+        bucket = F.conv(F.substring("__ip", 1, digits), 16, 10).cast("bigint")
+        probed = probed.withColumn(f"__ip_{label}", F.coalesce(bucket, nowhere))
+    joined = probed.join(narrow, F.col("__ip_narrow") == F.col("__bucket_narrow"), "left")
+    joined = joined.join(wide, F.col("__ip_wide") == F.col("__bucket_wide"), "left")
+
+    def best(label: str):
+        inside = F.filter(f"__candidates_{label}", lambda c: F.col("__ip").between(c["lo"], c["hi"]))
+        return F.get(inside, F.lit(0))
+
+    found = joined.withColumn("__best", F.coalesce(best("narrow"), best("wide")))
+    return found.select(*events.columns, *[F.col(f"__best.{c}").alias(c) for c in columns])
+
+
 def resolve_names(events: DataFrame, key: str, table: DataFrame, table_key: str, answer: str, name: str) -> DataFrame:
     """Name lookup from a table of known answers; a miss keeps the key itself."""
     answers = table.groupBy(table_key).agg(F.min(answer).alias("__answer"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lumberline.functions import net
 from lumberline.functions.text import render_template
-from lumberline.operators.lookup import cidr_join, lookup_join, not_listed, only_listed, resolve_names
+from lumberline.operators.lookup import cidr_join, cidr_join6, lookup_join, not_listed, only_listed, resolve_names
 from lumberline.plans.parse import parse
 from lumberline.plans.patterns import PatternSet
 from lumberline.queries.base import (
@@ -409,3 +409,21 @@ def dns_enrich(spark, sf_dir):
     return found.select("event_id", "host", "resolved")
 
 
+
+
+@query(
+    "cidr_join_v6",
+    """SELECT event_id, CASE WHEN event_id % 65536 BETWEEN 5120 AND 6143 THEN 'inner' WHEN event_id % 65536 BETWEEN 4096 AND 8191 THEN 'middle'
+              WHEN user_id % 7 = 0 THEN 'global' ELSE 'outer' END AS name FROM events""",
+)
+def cidr_join_v6(spark, sf_dir):
+    """IPv6 addresses made from ids; the longest of the nested prefixes wins."""
+    nets = spark.createDataFrame(
+        [("2001:db8::/32", "outer"), ("2001:db8:1000::/36", "middle"), ("2001:db8:1400::/38", "inner"), ("2000::/3", "global")],
+        "network string, name string",
+    )
+    group = F.lower(F.hex(F.col("event_id") % 65536))
+    far = (F.col("user_id") % 7 == 0) & ~(F.col("event_id") % 65536).between(4096, 8191)
+    ip = F.concat(F.when(far, F.lit("2001:db9:")).otherwise(F.lit("2001:db8:")), group, F.lit("::"), F.lower(F.hex("user_id")))
+    found = cidr_join6(events(spark, sf_dir).withColumn("ip", ip), "ip", nets, ["name"])
+    return found.select("event_id", "name")

@@ -8,10 +8,12 @@ from lumberline.operators import sequence as sq
 from lumberline.operators import windows as wn
 from lumberline.plans.parse import events_of, parse
 from lumberline.plans.patterns import PatternSet
-from lumberline.queries.base import APP_TYPES, events, log_lines, log_lines_stream, query, table
+from lumberline.operators.joins import interval_join_stream
+from lumberline.queries.base import APP_TYPES, events, events_stream, log_lines, log_lines_stream, query, table
 from lumberline.queries.relational import CENTS, HOUR, SECOND, dbl, side
 from lumberline.session import fresh_path
 from lumberline.sinks.snapshots import SnapshotStore
+from lumberline.streaming.patterns import not_followed_by_stream
 from lumberline.streaming.runner import drain, from_time, on_event_clock
 
 
@@ -203,6 +205,35 @@ def parse_and_filter_stream(spark, sf_dir):
     return drain(spark, parsed.filter("action = 'error'").select("pid", "host", "user_id", "k"), "filtered")
 
 
+@query(
+    "window_join_stream",
+    """SELECT a.event_id AS stop_id, b.event_id AS start_id FROM events a JOIN events b ON a.event_type = 'purchase' AND b.event_type = 'signup'
+       AND a.user_id = b.user_id AND epoch_us(b.ts) > epoch_us(a.ts) - 21600000000 AND b.ts <= a.ts""",
+)
+def window_join_stream(spark, sf_dir):
+    """The flagship join on two streams; state is kept for the window only."""
+    ev = events_stream(spark, sf_dir).withColumn("time", F.col("ts").cast("timestamp"))
+    stop = side(ev, "purchase", stop_id="event_id", u="user_id", a_time="time")
+    start = side(ev, "signup", start_id="event_id", v="user_id", b_time="time")
+    joined = interval_join_stream(stop, start, [("u", "v")], "a_time", "b_time", "6 hours", lateness="1 hour")
+    return drain(spark, joined.select("stop_id", "start_id"), "join")
+
+
+@query(
+    "absence_within_stream",
+    """SELECT a.event_id FROM events a WHERE a.event_type = 'signup'
+       AND a.ts + INTERVAL 2 DAY < (SELECT min(m) FROM (SELECT max(ts) AS m FROM events WHERE event_type = 'signup' UNION ALL SELECT max(ts) FROM events WHERE event_type = 'purchase'))
+       AND NOT EXISTS (SELECT 1 FROM events b WHERE b.event_type = 'purchase' AND b.user_id = a.user_id AND b.ts > a.ts AND b.ts < a.ts + INTERVAL 2 DAY)""",
+)
+def absence_within_stream(spark, sf_dir):
+    """The same absence on a stream; it is known once both clocks have passed the wait."""
+    ev = events_stream(spark, sf_dir).withColumn("time", F.col("ts").cast("timestamp"))
+    signups = side(ev, "signup", event_id="event_id", u="user_id", a_time="time")
+    bought = side(ev, "purchase", v="user_id", b_time="time")
+    alone = not_followed_by_stream(signups, bought, [("u", "v")], "a_time", "b_time", "2 days")
+    return drain(spark, alone.select("event_id"), "absence")
+
+
 # -- expression families -------------------------------------------------------
 
 

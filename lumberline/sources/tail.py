@@ -32,6 +32,8 @@ class _Range(InputPartition):
 class TailReader(DataSourceStreamReader):
     def __init__(self, options):
         self.pattern = options["path"]
+        if "://" in self.pattern:
+            raise ValueError("tail needs mounted files, given by plain paths or globs")
         self.from_end = options.get("from", "end") == "end"
 
     def _files(self) -> list[str]:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lumberline.functions import net
 from lumberline.functions.text import csv_values, url_map, url_multi_map, url_pairs
 from lumberline.operators import aggregates, chunked, joins, sequence, windows
-from lumberline.operators.lookup import cidr_join, lookup_join, not_listed, only_listed
+from lumberline.operators.lookup import cidr_join, cidr_join6, lookup_join, not_listed, only_listed
 
 N = 600
 
@@ -220,6 +220,24 @@ def test_cidr_takes_the_longest_prefix_once(spark):
     assert got == {0: "small", 1: "sixteen", 2: "ten", 3: "all", 4: None, 5: None}
 
 
+def test_ipv6_networks(spark):
+    import ipaddress
+
+    texts = ["::/0", "2000::/3", "2001:db8::/32", "2001:db8:8000::/33", "2001:db8:8000::1/127", "2a00::/21", "2001:d00::/25"]
+    nets = spark.createDataFrame([(t, f"n{i}") for i, t in enumerate(texts)], "network string, name string")
+    ips = ["2001:db8::1", "2001:db8:9000::", "2001:db8:8000::", "2001:db8:8000::2", "2a00:7ff::1", "2a00:800::1", "fe80::1", "2001:d7f::9", "1.2.3.4", None]
+    df = spark.createDataFrame([(i, ip) for i, ip in enumerate(ips)], "i int, ip string")
+    want = {}
+    for i, ip in enumerate(ips):
+        inside = [
+            (ipaddress.ip_network(t, strict=False).prefixlen, f"n{n}")
+            for n, t in enumerate(texts)
+            if ip and ":" in ip and ipaddress.ip_address(ip) in ipaddress.ip_network(t, strict=False)
+        ]
+        want[i] = max(inside)[1] if inside else None
+    assert {r.i: r.name for r in cidr_join6(df, "ip", nets, ["name"]).collect()} == want
+
+
 def test_addresses_agree_with_the_standard_library(spark):
     import ipaddress
 

@@ -171,7 +171,7 @@ class _Fold:
             self.add({good: ~q(seen) | q(parsed).isNotNull(), "__nulls": F.coalesce(nulls, F.lit(False))})
             done = matched & q(good)
             if not node.json_nested:
-                self.merge(node.json, q(parsed), matched & q(parsed).isNotNull())
+                self.merge(node.json, parsed)
         if node.csv in self.present and node.csv_fields:
             row = self.temp("csv")
             self.add({row: F.when(done, tx.csv_values(self.value(node.csv), len(node.csv_fields)))})
@@ -187,7 +187,7 @@ class _Fold:
                 merged = self.temp("argmap")
                 self.add({merged: F.when(done, tx.url_map(q(pairs)))})
                 self.add({"__nulls": F.coalesce(F.exists(F.map_values(q(merged)), lambda v: v.isNull()), F.lit(False))})
-                self.merge(node.urlargs, q(merged), done & q(merged).isNotNull())
+                self.merge(node.urlargs, merged)
         for rule in node.replace:
             if rule.get("field") in self.present:
                 fld = rule["field"]
@@ -199,24 +199,34 @@ class _Fold:
             self.write({target: F.coalesce(millis, self.value(target))}, done)
         return None if good is None else q(good)
 
-    def merge(self, raw_field: str, found: Column, when: Column) -> None:
-        """Replace the raw field by the keys of a map; unknown keys go to ``extra``."""
+    def merge(self, raw_field: str, found: str) -> None:
+        """Replace the raw field by the keys of a map column (NULL where nothing is
+        to be merged); unknown keys go to ``extra``.
+        """
         known = list(self.types)
 
         def merged(k: str) -> Column:
             # A key may hold NULL, which overwrites too; only then look at the keys.
-            got = F.try_element_at(found, F.lit(k))
-            old = self.value(k) if k != raw_field else F.lit(None).cast("string")
-            return F.when(q("__nulls"), F.when(F.map_contains_key(found, k), got).otherwise(old)).otherwise(F.coalesce(got, old))
-
-        unknown = F.map_filter(found, lambda k, _: ~k.isin(known))
+            # Spelled as SQL: one call per field keeps wide schemas quick to build.
+            key = "'" + k.replace("\\", "\\\\").replace("'", "\\'") + "'"
+            old = f"`__v_{k}`" if k in self.present else "CAST(NULL AS STRING)"
+            after = old if k != raw_field else "CAST(NULL AS STRING)"
+            return F.expr(
+                f"CASE WHEN {found} IS NULL THEN {old} "
+                f"WHEN __nulls AND map_contains_key({found}, {key}) THEN {found}[{key}] "
+                f"ELSE coalesce(try_element_at({found}, {key}), {after}) END"
+            )
+
+        unknown = F.map_filter(q(found), lambda k, _: ~k.isin(known))
         if self.extra:
-            older = F.map_filter(q("__extra"), lambda k, _: ~F.map_contains_key(found, k))
-            extra = F.when(when, F.map_concat(older, unknown)).otherwise(q("__extra"))
+            older = F.map_filter(q("__extra"), lambda k, _: ~F.map_contains_key(q(found), k))
+            extra = F.when(q(found).isNotNull(), F.map_concat(older, unknown)).otherwise(q("__extra"))
         else:
-            extra = F.when(when, unknown).otherwise(F.create_map().cast(_MAP))
+            extra = F.coalesce(unknown, F.create_map().cast(_MAP))
             self.extra = True
-        self.write({k: merged(k) for k in {raw_field: None, **dict.fromkeys(known)}}, when, __extra=extra)
+        names = {raw_field: None, **dict.fromkeys(known)}
+        self.add({**{"__v_" + k: merged(k) for k in names}, "__extra": extra})
+        self.present |= set(names)
 
     # -- result ------------------------------------------------------------
     def seal(self, flags: bool) -> None:

@@ -277,26 +277,23 @@ def datetime_methods(spark, sf_dir):
 
 @query(
     "array_enumeration",
-    """WITH d AS (SELECT user_id, date_trunc('day', ts) AS day, list(CAST(value AS DECIMAL(18,2)) ORDER BY event_id) AS vals FROM events GROUP BY 1, 2)
-       SELECT user_id, day, CAST(len(list_filter(vals, lambda v: v > 10)) AS INTEGER) AS n_large, len(list_filter(vals, lambda v: v > 15)) > 0 AS any_huge, len(list_filter(vals, lambda v: v <= 2)) = 0 AS all_above,
-              CAST(list_sum(vals) AS DOUBLE) AS total, CAST(vals[1] AS DOUBLE) AS first_value, CAST(list_max(vals) AS DOUBLE) AS highest FROM d""",
+    """WITH d AS (SELECT doc_id, string_split(text, ' ') AS words FROM documents)
+       SELECT doc_id, CAST(len(list_filter(words, lambda w: length(w) > 6)) AS INTEGER) AS n_long, len(list_filter(words, lambda w: length(w) > 14)) > 0 AS any_huge,
+              len(list_filter(words, lambda w: w = '')) = 0 AS all_filled, CAST(list_sum(list_transform(words, lambda w: length(w))) AS BIGINT) AS total,
+              words[1] AS first_word, CAST(list_max(list_transform(words, lambda w: length(w))) AS INTEGER) AS longest FROM d""",
 )
 def array_enumeration(spark, sf_dir):
-    """Collection methods on the values of one user and day."""
-    pair = F.struct("event_id", F.col("value").cast(CENTS).alias("v"))
-    daily = events(spark, sf_dir).groupBy("user_id", F.date_trunc("day", "ts").cast("timestamp_ntz").alias("day")).agg(
-        F.array_sort(F.collect_list(pair)).alias("pairs")
-    )
-    vals = F.transform("pairs", lambda p: p["v"])
-    zero = F.lit(0).cast("decimal(38,2)")
-    return daily.withColumn("vals", vals).select(
-        "user_id", "day",
-        F.size(F.filter("vals", lambda v: v > 10)).alias("n_large"),
-        F.exists("vals", lambda v: v > 15).alias("any_huge"),
-        F.forall("vals", lambda v: v > 2).alias("all_above"),
-        dbl(F.aggregate("vals", zero, lambda a, v: (a + v).cast("decimal(38,2)")), "total"),
-        dbl(F.element_at("vals", 1), "first_value"),
-        dbl(F.array_max("vals"), "highest"),
+    """Collection methods on the words of each document (a collection is one row's)."""
+    words = table(spark, sf_dir, "documents").select("doc_id", F.split("text", " ", -1).alias("words"))
+    zero = F.lit(0).cast("bigint")
+    return words.select(
+        "doc_id",
+        F.size(F.filter("words", lambda w: F.length(w) > 6)).alias("n_long"),
+        F.exists("words", lambda w: F.length(w) > 14).alias("any_huge"),
+        F.forall("words", lambda w: w != "").alias("all_filled"),
+        F.aggregate("words", zero, lambda total, w: total + F.length(w)).alias("total"),
+        F.element_at("words", 1).alias("first_word"),
+        F.array_max(F.transform("words", lambda w: F.length(w))).alias("longest"),
     )
 
 

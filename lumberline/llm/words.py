@@ -69,6 +69,7 @@ class Block:
     ends: np.ndarray  # byte after each word
     hashes: np.ndarray
     first: np.ndarray  # for each row, and once past the last, the number of its first word
+    begins: np.ndarray  # first byte of each row, and once past the last
 
     @property
     def counts(self) -> np.ndarray:
@@ -138,4 +139,4 @@ def blocks(texts: pa.Array, table: np.ndarray, limit: int = BLOCK_BYTES) -> Iter
         total = np.zeros(len(buf) + 1, np.uint64)
         np.cumsum(seen * power[: len(buf)], out=total[1:])
         hashes = mix((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
-        yield Block(rows, buf, starts, ends, hashes, np.searchsorted(starts, begin))
+        yield Block(rows, buf, starts, ends, hashes, np.searchsorted(starts, begin), begin)

@@ -15,9 +15,10 @@ from zlib import crc32
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lumberline.llm.ranks import ranked
 from lumberline.llm.store import stored
 from lumberline.llm.tokens import id_bytes, vocabulary_text
 
@@ -191,14 +192,7 @@ def pack(pieces: DataFrame, order: list[str], capacity: int = 4096, rows_per_gro
     sent = spark.sparkContext.broadcast((keys, sequence, rank, offset))
 
     salts = max(1, -(-int(counts.sum()) // rows_per_group))
-    salted = pieces.withColumn("_salt", F.pmod(F.xxhash64(*order), F.lit(salts)).cast("int"))
-    before = Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
-    base = (
-        salted.groupBy("length", "_salt").agg(F.count("*").alias("_n"))
-        .select("length", "_salt", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
-    )
-    local = F.row_number().over(Window.partitionBy("length", "_salt").orderBy(*order)) - 1
-    ranked = salted.withColumn("_local", local).join(base, ["length", "_salt"])
+    ordered = ranked(pieces, ["length"], [F.col(c) for c in order], salts, "_rank")
 
     @F.pandas_udf("sequence_id bigint, offset bigint")
     def place(length: pd.Series, at: pd.Series) -> pd.DataFrame:
@@ -207,7 +201,7 @@ def pack(pieces: DataFrame, order: list[str], capacity: int = 4096, rows_per_gro
         i = np.searchsorted(keys, (length.to_numpy(np.int64) << RANK_BITS) + at, side="right") - 1
         return pd.DataFrame({"sequence_id": sequence[i] + at - rank[i], "offset": offset[i]})
 
-    placed = ranked.withColumn("_place", place(F.col("length"), F.col("_base") + F.col("_local")))
+    placed = ordered.withColumn("_place", place(F.col("length"), F.col("_rank")))
     return placed.select(*pieces.columns, "_place.sequence_id", "_place.offset")
 
 

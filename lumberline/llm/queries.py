@@ -9,13 +9,25 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumberline.llm import packing, tokencount
+from lumberline.llm import (
+    fmindex,
+    neardup,
+    packing,
+    secretscan,
+    sharding,
+    spotsigs,
+    substrings,
+    surrogates,
+    tokencount,
+    toxicity,
+)
 from lumberline.queries.base import table
 from lumberline.session import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 TOKENIZER = "word_bpe_49k.json"
+SURROGATE_KEY = "key of this corpus"
 
 
 def query(fn):
@@ -38,3 +50,44 @@ def op1_best_fit_packing(spark, sf_dir):
 def op9_token_counts(spark, sf_dir):
     counts = tokencount.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
     return counts.withColumn("over_limit", F.col("n_tokens") > 2048)
+
+
+@query
+def op2_document_fingerprints(spark, sf_dir):
+    return spotsigs.fingerprints(table(spark, sf_dir, "documents"))
+
+
+@query
+def op3_substring_dedup(spark, sf_dir):
+    return substrings.without_repeats(table(spark, sf_dir, "documents"), window=20)
+
+
+@query
+def op4_toxicity(spark, sf_dir):
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op5_pii_surrogates(spark, sf_dir):
+    found = surrogates.with_surrogates(table(spark, sf_dir, "documents").select("doc_id", "text"), SURROGATE_KEY)
+    return found.select("doc_id", "text", "n_replaced")
+
+
+@query
+def op6_sharding(spark, sf_dir):
+    return sharding.shard_documents(table(spark, sf_dir, "documents"), shards=40)
+
+
+@query
+def op7_minhash_near_dedup(spark, sf_dir):
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
+
+
+@query
+def op8_decontamination(spark, sf_dir):
+    return fmindex.contamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=13)
+
+
+@query
+def op10_secret_scans(spark, sf_dir):
+    return secretscan.secret_report(table(spark, sf_dir, "documents"))

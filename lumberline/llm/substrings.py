@@ -16,9 +16,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumberline.llm.store import stored
 from lumberline.llm.words import SPACES, Block, blocks, byte_table, mix
 
 SEED = 5
@@ -120,23 +121,22 @@ def repeats(docs: DataFrame, window: int = 20) -> DataFrame:
     ``docs`` has ``doc_id`` (not NULL) and ``text``. Earlier is a smaller ``doc_id``, or
     an earlier word of the same document.
     """
-    # One exchange, read by everything below: what is grouped by seed stays where it is.
+    # One exchange and one sort: the first of each extent, and whether its seed has several.
     dealt = seeds(docs, window).repartition("part")
-    open_ = dealt.filter("seed is not null")
-    done = dealt.filter("seed is null").select("doc_id", (F.col("at") - F.col("lead")).alias("start"), F.col("size"))
     here = F.struct("doc_id", "at")
-    classes = open_.groupBy("part", "extent").agg(F.min(here).alias("first"))
-    later = (
-        open_.join(classes, ["part", "extent"]).filter(here > F.col("first"))
-        .select("doc_id", (F.col("at") - F.col("lead")).alias("start"), "size")
-    )
-    several = classes.groupBy("part").agg(F.count("*").alias("n")).filter("n > 1").select("part")
-    asked = classes.join(several, "part").select("first.doc_id", "first.at")
-    windows = _asked_windows(docs, asked, window).repartition("seed", "hash")
+    of_seed = Window.partitionBy("part", "seed")
+    judged = dealt.withColumns({
+        "first": F.min(here).over(Window.partitionBy("part", "seed", "extent")),
+        "several": F.min("extent").over(of_seed) != F.max("extent").over(of_seed),
+    })
+    repeated = F.col("seed").isNull() | (here > F.col("first"))
+    judged = stored(judged.select("doc_id", "at", "lead", "size", repeated.alias("repeated"), "several").filter("repeated or several"), "anchors")
+    whole = judged.filter("repeated").select("doc_id", (F.col("at") - F.col("lead")).alias("start"), "size")
+    windows = _asked_windows(docs, judged.filter("not repeated"), window)
     place = F.struct("doc_id", "start")
-    earliest = windows.groupBy("seed", "hash").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1")
-    single = windows.join(earliest, ["seed", "hash"]).filter(place > F.col("first")).select("doc_id", "start", F.lit(1).alias("size"))
-    spans = done.unionByName(later).unionByName(single)
+    windows = windows.withColumn("first", F.min(place).over(Window.partitionBy("seed", "hash")))
+    single = windows.filter(place > F.col("first")).select("doc_id", "start", F.lit(1).alias("size"))
+    spans = whole.unionByName(single)
     return spans.select("doc_id", F.col("start").cast("int").alias("start"), (F.col("start") + F.col("size") + window - 1).cast("int").alias("end"))
 
 

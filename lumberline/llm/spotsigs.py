@@ -21,8 +21,8 @@ ANCHORS = (
     "el", "es", "y", "con",
 )
 _ANY = r"(?:\^|" + "|".join(ANCHORS) + ")"
-# At an anchor, without using up text: the anchor, then two words that are no anchors.
-_CHAIN = rf"(?<= )(?=({_ANY} (?:{_ANY} )*+[^ ]*+ ?+(?:{_ANY} )*+[^ ]*+))"
+# At an anchor, without using up text: the anchor, then two words, each after up to 8 more anchors.
+_CHAIN = rf"(?<= )(?=({_ANY} (?:{_ANY} ){{0,8}}+[^ ]*+ ?+(?:{_ANY} ){{0,8}}+[^ ]*+))"
 _LOWEST = -(1 << 63)
 
 

@@ -21,6 +21,7 @@ from lumberline.llm import (
     tokencount,
     toxicity,
 )
+from lumberline.llm.store import importable
 from lumberline.queries.base import table
 from lumberline.session import prepare
 
@@ -35,6 +36,7 @@ def query(fn):
 
     @wraps(fn)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        importable(spark)
         return fn(prepare(spark), sf_dir)
 
     QUERIES[fn.__name__] = run

@@ -2,11 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pathlib import Path
+
+from pyspark.sql import DataFrame, SparkSession
 
 from lumberline.session import fresh_path
 
 
+def importable(spark: SparkSession) -> None:
+    """Let Python workers find this package where the driver has it, if the path is there too."""
+    root, environment = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
+    paths = environment.get("PYTHONPATH", "").split(":")
+    if root not in paths:
+        environment["PYTHONPATH"] = ":".join([root, *filter(None, paths)])
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Write the rows to the shared folder and go on from the files.
 

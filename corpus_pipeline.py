@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumberline.llm import fmindex, neardup, packing, secretscan, toxicity
-from lumberline.llm.store import stored
+from lumberline.llm.store import importable, stored
 
 
 def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
@@ -61,6 +61,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    importable(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir), name)

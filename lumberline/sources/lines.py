@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import sys
 from collections.abc import Iterator, Mapping, Sequence
 
@@ -61,7 +62,10 @@ def scan_sniffed(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
 
 
 def unpacked_lines(content: bytes, step: int = 1 << 20, rows: int = 10_000) -> Iterator[list[str]]:
-    """Lists of lines of a (possibly gzip, possibly multi-member) byte string."""
+    """Lists of lines of a (possibly gzip, possibly multi-member) byte string.
+
+    Zeros after a member are padding. A gzip stream that stops early is an error.
+    """
     import zlib
 
     def pieces() -> Iterator[bytes]:
@@ -75,9 +79,11 @@ def unpacked_lines(content: bytes, step: int = 1 << 20, rows: int = 10_000) -> I
             yield unpack.decompress(fed)
             at += len(fed)
             if unpack.eof:
-                at -= len(unpack.unused_data)
+                at = re.compile(rb"\0*").match(content, at - len(unpack.unused_data)).end()
                 if at < len(content):
                     unpack = zlib.decompressobj(31)
+        if not unpack.eof:
+            raise EOFError("a gzip file ends before its stream does")
 
     rest, out = b"", []
     for piece in pieces():

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
+from re import _parser
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,14 +22,17 @@ def assemble_lines(
     start: Column,
     separator: str = "\n",
     width: int = 100_000,
+    tie: Sequence[str] = (),
 ) -> DataFrame:
     """Join physical lines into entries; a new entry begins where ``start`` holds.
 
+    Lines stand in the order of ``position`` (a number), then ``tie``.
+
     Entry numbers come from a chunked running count, so one long file is not one
     task. The text of a single entry is one value and has to fit a row anyway.
     """
-    numbered = running(lines, keys, position, sums={"entry": F.when(start, 1).otherwise(0)}, width=width)
-    ordered = F.array_sort(F.collect_list(F.struct(position, text)))
+    numbered = running(lines, keys, position, sums={"entry": F.when(start, 1).otherwise(0)}, tie=tie, width=width)
+    ordered = F.array_sort(F.collect_list(F.struct(position, *tie, text)))
     return (
         numbered.groupBy(*keys, "entry")
         .agg(ordered.alias("__lines"), F.min(position).alias("first_position"))
@@ -55,6 +60,16 @@ def not_followed_by(
     return exists_in_range(due, second, on, first_ts, second_ts, within_us, ahead=True, negate=True)
 
 
+def longest_match(pattern: str) -> int:
+    """The most rows a pattern can span. Unbounded ones, and ones that look past their match, are errors."""
+    if re.search(r"\$|\\[bBzZ]|\(\?<?[=!]", pattern):
+        raise ValueError(f"row pattern {pattern!r} looks at rows outside its match")
+    most = _parser.parse(pattern).getwidth()[1]
+    if most >= 1 << 20:
+        raise ValueError(f"row pattern {pattern!r} has no bound on its length: write x{{1,n}} for x+")
+    return most
+
+
 def match_rows(
     df: DataFrame, keys: Sequence[str], order: str, symbol: Column, pattern: str, longest: int,
     identity: str, tie: Sequence[str] = (),
@@ -62,8 +77,11 @@ def match_rows(
     """Rows where a regular expression over one-letter row symbols starts to match.
 
     ``longest`` bounds the rows a match may span, which is what lets the search
-    run on chunks. Every start is reported (the next match may overlap).
+    run on chunks; a pattern that can span more is an error, so that no match is
+    lost or cut. Every start is reported (the next match may overlap).
     """
+    if longest_match(pattern) > longest:
+        raise ValueError(f"row pattern {pattern!r} spans up to {longest_match(pattern)} rows, more than {longest}")
 
     def look(w) -> dict[str, Column]:
         frame = w.rowsBetween(0, longest - 1)

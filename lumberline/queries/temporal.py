@@ -77,34 +77,27 @@ _ITEM = "'  item ' || l_linenumber || ' part ' || l_partkey || ' qty ' || CAST(l
 
 @query(
     "multiline_assembly",
-    f"""WITH heads AS (SELECT o_orderkey, CAST(o_orderkey AS BIGINT) * 100000000 AS position, 'ORDER ' || o_orderkey || ' ' || o_orderstatus AS text FROM orders),
-            items AS (SELECT l_orderkey, CAST(l_orderkey AS BIGINT) * 100000000 + l_linenumber * 10000000 + l_partkey AS position, {_ITEM} AS text FROM lineitem SEMI JOIN orders ON o_orderkey = l_orderkey),
-            all_lines AS (SELECT o_orderkey AS k, position, text FROM heads UNION ALL SELECT l_orderkey, position, text FROM items)
-       SELECT CAST(k AS BIGINT) * 100000000 AS first_position, count(*)::INTEGER AS n_lines, string_agg(text, chr(10) ORDER BY position, text) AS text FROM all_lines GROUP BY k""",
+    f"""WITH lines AS (SELECT CAST(o_orderkey AS BIGINT) AS k, 0 AS line, 0 AS part, 'ORDER ' || o_orderkey || ' ' || o_orderstatus AS text FROM orders
+              UNION ALL SELECT l_orderkey, l_linenumber, l_partkey, {_ITEM} FROM lineitem),
+            entries AS (SELECT *, sum(CASE WHEN starts_with(text, 'ORDER ') THEN 1 ELSE 0 END) OVER (ORDER BY k, line, part, text ROWS UNBOUNDED PRECEDING) AS entry FROM lines)
+       SELECT min(k) AS first_position, count(*)::INTEGER AS n_lines, string_agg(text, chr(10) ORDER BY k, line, part, text) AS text FROM entries GROUP BY entry""",
 )
 def multiline_assembly(spark, sf_dir):
     """Order headers followed by their items, as one long file without any key."""
-    base = F.lit(100_000_000).cast("bigint")
     heads = table(spark, sf_dir, "orders").select(
-        (F.col("o_orderkey") * base).alias("position"),
+        F.col("o_orderkey").cast("bigint").alias("position"), F.lit(0).cast("bigint").alias("line"), F.lit(0).cast("bigint").alias("part"),
         F.concat(F.lit("ORDER "), F.col("o_orderkey").cast("string"), F.lit(" "), "o_orderstatus").alias("text"),
     )
-    number = F.col("l_linenumber").cast("bigint") * 10_000_000 + F.col("l_partkey")
-    orders = table(spark, sf_dir, "orders").select("o_orderkey")
-    items = (
-        table(spark, sf_dir, "lineitem")
-        .join(orders, F.col("l_orderkey") == F.col("o_orderkey"), "left_semi")
-        .select(
-            (F.col("l_orderkey") * base + number).alias("position"),
-            F.concat(
-                F.lit("  item "), F.col("l_linenumber").cast("string"), F.lit(" part "), F.col("l_partkey").cast("string"),
-                F.lit(" qty "), F.col("l_quantity").cast("int").cast("string"),
-            ).alias("text"),
-        )
+    items = table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").cast("bigint").alias("position"), F.col("l_linenumber").cast("bigint").alias("line"), F.col("l_partkey").cast("bigint").alias("part"),
+        F.concat(
+            F.lit("  item "), F.col("l_linenumber").cast("string"), F.lit(" part "), F.col("l_partkey").cast("string"),
+            F.lit(" qty "), F.col("l_quantity").cast("int").cast("string"),
+        ).alias("text"),
     )
-    # About a thousand orders' worth of positions per chunk.
+    # About a thousand orders per chunk.
     out = sq.assemble_lines(
-        heads.unionByName(items), [], "position", "text", F.col("text").startswith("ORDER "), width=100_000_000_000
+        heads.unionByName(items), [], "position", "text", F.col("text").startswith("ORDER "), width=1_000, tie=["line", "part"]
     )
     return out.select("first_position", "n_lines", "text")
 

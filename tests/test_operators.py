@@ -191,6 +191,9 @@ def test_batches_matches_and_contexts(df, data):
                 active = False
     out = windows.length_batch(df, ["key"], "t", 5, [F.sum("v").alias("s")])
     assert {(r.key, r.batch, r.s) for r in out.collect()} == batches
+    for pattern, longest in (("ab+c", 4), ("ab{1,2}c", 3), ("ab(?=c)", 4)):
+        with pytest.raises(ValueError, match="row pattern"):
+            sequence.match_rows(df, ["key"], "t", F.col("kind"), pattern, longest, "id")
     out = sequence.match_rows(df, ["key"], "t", F.col("kind"), "ab{1,2}c", 4, "id")
     assert {(r.id, r.match_length, r.last_id) for r in out.collect()} == starts
     out = sequence.contexts(df, ["key"], "t", F.col("kind") == "a", F.col("kind") == "c", width=33)

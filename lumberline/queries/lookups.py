@@ -26,7 +26,7 @@ from lumberline.session import fresh_path
 from lumberline.sinks.snapshots import SnapshotStore
 from lumberline.sinks.writers import QuerySet, as_json, text_output, write_lines
 from lumberline.sources.lines import merge_by_event_time, scan_lines, scan_sniffed, stream_union
-from lumberline.sources.tables import ReferenceTable, lookup_window, scan_csv, static_list
+from lumberline.sources.tables import ReferenceTable, literal_table, lookup_window, scan_csv, static_list
 from lumberline.sources.tail import tail
 from lumberline.operators.windows import latest_per_key
 from lumberline.streaming.runner import drain, drain_batches, with_reload
@@ -302,7 +302,7 @@ NETS_SQL = """nets(network, lo, hi, len, asn, org, iso, name) AS (VALUES
 
 
 def networks(spark):
-    return spark.createDataFrame(NETWORKS, "network string, asn int, org string, iso string, name string")
+    return literal_table(spark, NETWORKS, "network string, asn int, org string, iso string, name string")
 
 
 def _best(column):
@@ -418,7 +418,8 @@ def dns_enrich(spark, sf_dir):
 )
 def cidr_join_v6(spark, sf_dir):
     """IPv6 addresses made from ids; the longest of the nested prefixes wins."""
-    nets = spark.createDataFrame(
+    nets = literal_table(
+        spark,
         [("2001:db8::/32", "outer"), ("2001:db8:1000::/36", "middle"), ("2001:db8:1400::/38", "inner"), ("2000::/3", "global")],
         "network string, name string",
     )

@@ -35,7 +35,7 @@ def write_lines(df: DataFrame, path: str, template: str | None = None, mode: str
 class Output:
     """Where results go: a writer, and the queries bound to it (none: all)."""
 
-    write: Callable[[DataFrame, str], None]
+    write: Callable[[DataFrame, str, str | None], None]
     queries: Sequence[str] = ()
 
 
@@ -66,27 +66,40 @@ class QuerySet:
         loud = [n for n, (_, silent) in self._queries.items() if not silent]
         return {o: [n for n in loud if not out.queries or n in out.queries] for o, out in outputs.items()}
 
-    def emit(self, events: DataFrame, outputs: Mapping[str, Output]) -> None:
+    def emit(self, events: DataFrame, outputs: Mapping[str, Output], batch: str | None = None) -> None:
         """Evaluate and write. Parsed events are kept while several queries use them."""
         events = events.persist()
         try:
             results = self.results(events)
             for output, names in self.routes(outputs).items():
                 for name in names:
-                    outputs[output].write(results[name], name)
+                    outputs[output].write(results[name], name, batch)
         finally:
             events.unpersist()
 
     def foreach_batch(self, outputs: Mapping[str, Output]) -> Callable[[DataFrame, int], None]:
-        """The same routing for a streaming query (``writeStream.foreachBatch``)."""
-        return lambda batch, _: self.emit(batch, outputs)
+        """The same routing for a streaming query (``writeStream.foreachBatch``).
 
+        A batch is named by its stream and number, both of which its checkpoint keeps, so
+        a replayed batch replaces its rows and a new stream leaves those of an old one.
+        """
 
-def text_output(folder: str, template: str | None = None, queries: Sequence[str] = ()) -> Output:
-    """Append each query's rows below ``folder/query=<name>``."""
+        def handle(batch: DataFrame, number: int) -> None:
+            stream = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+            self.emit(batch, outputs, f"{stream}-{number}")
+
+        return handle
 
-    def write(df: DataFrame, name: str) -> None:
-        write_lines(df, f"{folder}/query={name}", template, mode="append")
+
+def text_output(folder: str, template: str | None = None, queries: Sequence[str] = ()) -> Output:
+    """Append each query's rows below ``folder/query=<name>``; a stream's batch goes to ``batch=`` there, once."""
+
+    def write(df: DataFrame, name: str, batch: str | None = None) -> None:
+        path = f"{folder}/query={name}"
+        if batch is None:
+            write_lines(df, path, template, mode="append")
+        else:
+            write_lines(df, f"{path}/batch={batch}", template)
 
     return Output(write, queries)
 

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import csv
 import io
+import uuid
 from collections.abc import Iterable, Mapping, Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 
 def scan_csv(
@@ -37,8 +40,7 @@ def scan_csv(
         for row in rows:
             if len(row) < len(names):
                 raise ValueError(f"CSV record has {len(row)} values for {len(names)} fields")
-        schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-        raw = spark.createDataFrame([tuple(r[: len(names)]) for r in rows], schema)
+        raw = literal_table(spark, [tuple(r[: len(names)]) for r in rows], T.StructType([T.StructField(n, T.StringType()) for n in names]))
     else:
         raise ValueError("a CSV input needs a path or content")
     text = {c: F.coalesce(F.col(c), F.lit("")) for c in raw.columns}
@@ -47,9 +49,20 @@ def scan_csv(
     )
 
 
+def literal_table(spark: SparkSession, rows: Sequence[tuple], schema: str | T.StructType) -> DataFrame:
+    """Rows that the driver holds, as a relation whose size Spark knows.
+
+    Catalyst then broadcasts a small one by its own threshold; rows made from Python
+    tuples would count as boundless, and the other side of a join be shuffled.
+    """
+    schema = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    columns = [pa.array([r[i] for r in rows], to_arrow_type(f.dataType)) for i, f in enumerate(schema.fields)]
+    return spark.createDataFrame(pa.Table.from_arrays(columns, schema.fieldNames()), schema)
+
+
 def static_list(spark: SparkSession, values: Iterable, field: str = "data") -> DataFrame:
     """A literal list as a one-column table."""
-    return spark.createDataFrame([(str(v),) for v in values], f"`{field}` string")
+    return literal_table(spark, [(str(v),) for v in values], T.StructType([T.StructField(field, T.StringType())]))
 
 
 def lookup_window(df: DataFrame, name: str) -> DataFrame:
@@ -62,13 +75,13 @@ class ReferenceTable:
     """A lookup table with declared columns, fully replaced at each load.
 
     Every load is written under a path of its own and the view is then pointed to
-    it, so readers never see a half-written table and a lost executor re-reads.
+    it, so readers never see a half-written table and a lost executor re-reads. A
+    second table object of the same name and folder leaves earlier loads readable.
     """
 
     def __init__(self, spark: SparkSession, name: str, folder: str, columns: Mapping[str, str]):
         self.spark, self.name, self.folder = spark, name, folder.rstrip("/")
         self.columns = dict(columns)
-        self.version = 0
 
     def conform(self, df: DataFrame) -> DataFrame:
         """Declared columns only, with declared types; absent ones are NULL."""
@@ -84,9 +97,8 @@ class ReferenceTable:
         table = parts[0]
         for part in parts[1:]:
             table = table.unionByName(part)
-        self.version += 1
-        path = f"{self.folder}/{self.name}/version={self.version}"
-        table.write.mode("overwrite").parquet(path)
+        path = f"{self.folder}/{self.name}/load-{uuid.uuid4().hex}"
+        table.write.parquet(path)
         loaded = self.spark.read.parquet(path)
         loaded.createOrReplaceTempView(self.name)
         return loaded

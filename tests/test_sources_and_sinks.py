@@ -101,6 +101,52 @@ def test_snapshots_keep_nulls_and_the_newest_version(spark, tmp_path):
     store.save("w", df, 2)
     store.save("w", df, 2)
     assert [tuple(r) for r in store.restore("w", df.schema).collect()] == [("h", None, 1586862681000)]
+    again = df.withColumn("host", F.lit("after a restart"))
+    SnapshotStore(spark, str(tmp_path)).save("w", again, 0)
+    assert [r.host for r in store.restore("w", df.schema).collect()] == ["after a restart"]
+    with pytest.raises(FileNotFoundError):
+        store.restore("unknown", df.schema)
+
+
+def test_a_replayed_batch_is_written_once(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "x.log").write_text("a\nb\n")
+    rules = QuerySet()
+    rules.add("q", lambda e: e)
+    handle = rules.foreach_batch({"o": text_output(str(tmp_path / "out"))})
+
+    def twice(batch, number):
+        handle(batch, number)
+        handle(batch, number)
+
+    for run in ("first", "second"):
+        lines = spark.readStream.text(str(tmp_path / "in")).withColumnRenamed("value", "data")
+        stream = lines.writeStream.foreachBatch(twice).option("checkpointLocation", str(tmp_path / run)).trigger(availableNow=True).start()
+        stream.awaitTermination()
+    # Two streams, each batch once.
+    assert spark.read.text(str(tmp_path / "out")).count() == 4
+
+
+def test_gzip_that_ends_early_is_an_error_and_padding_is_not():
+    content = gzip.compress(b"one\ntwo\n" * 1000)
+    for step in (7, 1 << 20):
+        with pytest.raises(EOFError):
+            list(unpacked_lines(content[: len(content) // 2], step=step))
+        padded = content + bytes(512) + content + bytes(3)
+        assert sum(map(len, unpacked_lines(padded, step=step))) == 4000
+
+
+def test_small_literal_is_broadcast(spark):
+    big = spark.range(1000).select(F.col("id").cast("string").alias("data"), "id")
+    joined = big.join(static_list(spark, ["1", "5"], "word"), F.col("data") == F.col("word"), "left_semi")
+    assert "BroadcastHashJoin" in joined._jdf.queryExecution().executedPlan().toString() and joined.count() == 2
+
+
+def test_a_second_reference_table_leaves_the_first_readable(spark, tmp_path):
+    one, two = (ReferenceTable(spark, "pair", str(tmp_path), {"x": "int"}) for _ in range(2))
+    first = one.load(spark.createDataFrame([(1,)], "x int"))
+    two.load(spark.createDataFrame([(2,)], "x int"))
+    assert first.first().x == 1 and one.read().first().x == 2
 
 
 def test_tail_reader_offsets(tmp_path, monkeypatch):

@@ -10,8 +10,11 @@ from lumberline.operators import joins as jn
 from lumberline.operators import windows as wn
 from lumberline.operators.sequence import split_stream
 from lumberline.plans.parse import events_of, parse
-from lumberline.queries.base import APP_TYPES, events, log_lines, query, table
+from lumberline.queries.base import APP_TYPES, events, events_stream, log_lines, query, table
+from lumberline.session import fresh_path
 from lumberline.sinks.writers import QuerySet, tagged
+from lumberline.streaming.patterns import LastValueJoin, both_sides
+from lumberline.streaming.runner import drain_batches
 
 SECOND = 1_000_000
 HOUR = 3600 * SECOND
@@ -197,11 +200,11 @@ def outer_joins(spark, sf_dir):
     return out
 
 
-@query(
-    "last_value_join",
-    """WITH a AS (SELECT event_id, user_id, ts FROM events WHERE event_type = 'error'), b AS (SELECT event_id AS last_id, user_id, ts, value FROM events WHERE event_type = 'view')
-       SELECT a.event_id, b.last_id, b.value AS last_value FROM a ASOF LEFT JOIN b ON a.user_id = b.user_id AND a.ts >= b.ts""",
-)
+_LAST_VALUE_SQL = """WITH a AS (SELECT event_id, user_id, ts FROM events WHERE event_type = 'error'), b AS (SELECT event_id AS last_id, user_id, ts, value FROM events WHERE event_type = 'view')
+       SELECT a.event_id, b.last_id, b.value AS last_value FROM a ASOF LEFT JOIN b ON a.user_id = b.user_id AND a.ts >= b.ts"""
+
+
+@query("last_value_join", _LAST_VALUE_SQL)
 def last_value_join(spark, sf_dir):
     ev = events(spark, sf_dir)
     errors = side(ev, "error", event_id="event_id", u="user_id", a_us="ts_us")
@@ -210,6 +213,18 @@ def last_value_join(spark, sf_dir):
     return found.select("event_id", "last_id", "last_value")
 
 
+@query("last_value_join_stream", _LAST_VALUE_SQL)
+def last_value_join_stream(spark, sf_dir):
+    """The same on a stream: what is available is one batch, so its order of arrival does not matter."""
+    ev, base = events_stream(spark, sf_dir), fresh_path(spark, "asof")
+    errors = side(ev, "error", event_id="event_id", u="user_id", a_us="ts_us")
+    views = side(ev, "view", last_id="event_id", v="user_id", b_us="ts_us", last_value="value")
+    both = both_sides(errors, views, "v", "b_us", ["last_id", "last_value"])
+    join = LastValueJoin(f"{base}/kept", "u", "a_us", ["last_id", "last_value"], lambda df, n: df.write.mode("overwrite").parquet(f"{base}/out/batch={n}"))
+    drain_batches(spark, both, "asof", join)
+    return spark.read.parquet(f"{base}/out").select("event_id", "last_id", "last_value")
+
+
 _RECENT = """EXISTS (SELECT 1 FROM events b WHERE b.event_type = 'error' AND b.user_id = a.user_id
   AND epoch_us(b.ts) > epoch_us(a.ts) - 43200000000 AND b.ts <= a.ts)"""
 

@@ -2,23 +2,18 @@
 
 Built on Spark's own stateful operators (stream-stream joins, watermarks), whose
 state is partitioned by key and dropped once the watermark has passed. Only the
-as-of join keeps a value of its own per key.
+as-of join hands a row per key from batch to batch.
 """
 
 from __future__ import annotations
 
-import sys
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.streaming import StatefulProcessor
 
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
-
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+from lumberline.operators.joins import last_value_join
+from lumberline.streaming.runner import hand_on, handed_on
 
 
 def _later(on: Sequence[tuple[str, str]], first_time: str, second_time: str, within: str):
@@ -56,62 +51,44 @@ def first_within(df: DataFrame, keys: Sequence[str], time: str, within: str) ->
     return df.withWatermark(time, within).dropDuplicatesWithinWatermark(list(keys))
 
 
-class _LastValue(StatefulProcessor):
-    """Per key: the latest right-side row. Left rows go out with what they find."""
-
-    def __init__(self, left: list[str], right: list[str], state_schema: T.StructType):
-        self.left, self.right, self.schema = left, right, state_schema
-
-    def init(self, handle) -> None:
-        self.last = handle.getValueState("last", self.schema)
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator:
-        import pandas as pd
+def both_sides(left: DataFrame, right: DataFrame, key: str, right_us: str, right_columns: Sequence[str]) -> DataFrame:
+    """Two streams as one, for :class:`LastValueJoin`: each row is a ``left`` or a ``right`` struct."""
+    a = left.select(F.struct("*").alias("left"))
+    b = right.select(F.struct(F.col(key).alias("key"), F.col(right_us).alias("us"), F.struct(*right_columns).alias("values")).alias("right"))
+    return a.unionByName(b, allowMissingColumns=True)
 
-        state = list(self.last.get()) if self.last.exists() else None
-        for chunk in rows:
-            found = []
-            ordered = chunk.sort_values(["at_us", "is_left"], kind="stable")
-            for row in ordered.to_dict("records"):
-                if row["is_left"]:
-                    values = state[1:] if state else [None] * len(self.right)
-                    found.append([row[c] for c in self.left] + list(values))
-                elif state is None or row["at_us"] >= state[0]:
-                    state = [self.restored(f, row[f.name]) for f in self.schema.fields]
-            if found:
-                yield pd.DataFrame(found, columns=self.left + self.right, dtype=object)
-        if state is not None:
-            self.last.update(tuple(state))
 
-    @staticmethod
-    def restored(field: T.StructField, value):
-        """Undo what pandas does to a column with gaps: NaN for NULL, floats for integers."""
-        if value is None or value != value:
-            return None
-        return int(value) if isinstance(field.dataType, T.IntegralType) else value
+class LastValueJoin:
+    """``foreachBatch`` handler over :func:`both_sides`: an as-of join of two streams.
 
-    def close(self) -> None:
-        pass
+    A left row gets the latest right row of its key at or before it, in its own batch or
+    kept from earlier ones (one row per key); right rows of one time and key are settled by
+    their greatest values. Where a batch starts before the kept row, that row stands at the
+    batch's first left row, so a late left row still finds one. Rows with a NULL key find
+    nothing. The join is the batch operator, so values keep their types and a hot key is cut.
 
-
-def last_value_join_stream(
-    left: DataFrame, right: DataFrame, key: str, left_us: str, right_us: str, right_columns: Sequence[str]
-) -> DataFrame:
-    """As-of join of two streams: each left row with the right row last seen for its key.
-
-    Rows are taken in arrival order (in time order inside a batch of rows), as an
-    event engine would. One row per key is kept.
+    The kept rows lie in two folders that take turns: a batch reads what its predecessor
+    left, and a replayed batch writes its own folder again. ``write(result, number)`` has to
+    replace what it wrote for the number before.
     """
-    left.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    lefts = list(left.columns)
-    a = left.withColumns({"is_left": F.lit(True), "at_us": F.col(left_us)})
-    b = right.select(key, F.lit(False).alias("is_left"), F.col(right_us).alias("at_us"), *right_columns)
-    both = a.unionByName(b, allowMissingColumns=True)
-    out = T.StructType([left.schema[c] for c in lefts] + [right.schema[c] for c in right_columns])
-    state = T.StructType(
-        [T.StructField("at_us", T.LongType())] + [T.StructField(c, right.schema[c].dataType) for c in right_columns]
-    )
-    return both.groupBy(key).transformWithStateInPandas(
-        statefulProcessor=_LastValue(lefts, list(right_columns), state),
-        outputStructType=out, outputMode="Append", timeMode="None",
-    )
+
+    def __init__(self, folder: str, key: str, left_us: str, right_columns: Sequence[str], write: Callable[[DataFrame, int], None]):
+        self.folder, self.key, self.left_us = folder, key, left_us
+        self.right_columns, self.write = list(right_columns), write
+
+    def __call__(self, batch: DataFrame, number: int) -> None:
+        batch = batch.persist()
+        try:
+            lefts = batch.filter("left is not null").select("left.*")
+            rights = batch.filter("right is not null").select("right.*").filter("key is not null")
+            kept = handed_on(batch.sparkSession, self.folder, number, rights.schema)
+            first = F.lit(lefts.agg(F.min(self.left_us)).first()[0]).cast("bigint")
+            seen = rights.withColumn("__at", F.col("us")).unionByName(kept.withColumn("__at", F.least("us", first)))
+            latest = F.max(F.struct("us", "values")).alias("__last")
+            one = seen.groupBy("key", "__at").agg(latest)
+            found = last_value_join(lefts, one, [(self.key, "key")], self.left_us, "__at", ["__last"])
+            answers = [F.col(f"__last.values.{c}").alias(c) for c in self.right_columns]
+            self.write(found.select(*lefts.columns, *answers), number)
+            hand_on(seen.groupBy("key").agg(latest).select("key", "__last.us", "__last.values"), self.folder, number)
+        finally:
+            batch.unpersist()

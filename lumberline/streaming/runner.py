@@ -87,29 +87,44 @@ def with_reload(
     return handle
 
 
+def hand_on(df: DataFrame, folder: str, number: int) -> None:
+    """Keep rows for the next batch. Two folders take turns, so a replayed batch meets what it met before."""
+    df.write.mode("overwrite").parquet(f"{folder}/turn={number % 2}")
+
+
+def handed_on(spark: SparkSession, folder: str, number: int, schema) -> DataFrame:
+    """What batch ``number - 1`` kept; the first batch of a checkpoint finds nothing."""
+    if number == 0:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(f"{folder}/turn={(number - 1) % 2}")
+
+
 class LateRows:
     """``foreachBatch`` handler that sets rows apart which come too late.
 
-    The clock is the largest event time of all earlier batches. Rows behind it by
-    more than ``delay_ms`` go to ``late``, everything else to ``on_time``; nothing
-    is dropped.
+    The clock is the largest event time of all earlier batches, ``clock`` at first. It is
+    handed on in ``folder``, which belongs to the stream's checkpoint, so a restarted
+    stream and a replayed batch judge alike. Rows behind it by more than ``delay_ms`` go
+    to ``late``, everything else to ``on_time``; nothing is dropped. Rows of one batch
+    are not judged by each other.
     """
 
-    def __init__(self, delay_ms: int, on_time, late, millis: str = "logts_timestamp", clock: int | None = None):
-        self.delay_ms, self.on_time, self.late = delay_ms, on_time, late
-        self.millis, self.clock = millis, clock
+    def __init__(self, delay_ms: int, on_time, late, folder: str, millis: str = "logts_timestamp", clock: int | None = None):
+        self.delay_ms, self.on_time, self.late, self.folder = delay_ms, on_time, late, folder
+        self.millis, self.first_clock = millis, clock
 
     def __call__(self, batch: DataFrame, number: int) -> None:
         batch = batch.persist()
         try:
-            if self.clock is None:
+            known = handed_on(batch.sparkSession, self.folder, number, "clock bigint").first()
+            clock = known["clock"] if known else self.first_clock
+            if clock is None:
                 self.on_time(batch, number)
             else:
-                behind = F.coalesce(F.col(self.millis) < F.lit(self.clock - self.delay_ms), F.lit(False))
+                behind = F.coalesce(F.col(self.millis) < F.lit(clock - self.delay_ms), F.lit(False))
                 self.on_time(batch.filter(~behind), number)
                 self.late(batch.filter(behind), number)
-            newest = batch.agg(F.max(self.millis)).first()[0]
-            if newest is not None:
-                self.clock = max(newest, self.clock or newest)
+            newest = F.greatest(F.max(F.col(self.millis).cast("bigint")), F.lit(clock).cast("bigint"))
+            hand_on(batch.agg(newest.alias("clock")), self.folder, number)
         finally:
             batch.unpersist()

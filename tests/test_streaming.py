@@ -100,9 +100,29 @@ def test_last_value(spark, source):
     a, b = split(batch)
     want = pairs(joins.last_value_join(a, b, [("x", "y")], "ta", "tb", ["b"]))
     a, b = split(stream())
-    right = b.select(F.col("y").alias("x"), "tb", "b")
-    out = st.last_value_join_stream(a, right, "x", "ta", "tb", ["b"])
-    assert pairs(drain(spark, out.select("a", "b"), "asof")) == want
+    base = fresh_path(spark, "asof")
+    join = st.LastValueJoin(f"{base}/kept", "x", "ta", ["b"], lambda df, n: df.write.mode("overwrite").parquet(f"{base}/out/batch={n}"))
+    drain_batches(spark, st.both_sides(a, b, "y", "tb", ["b"]), "asof", join)
+    assert pairs(spark.read.parquet(f"{base}/out")) == want and want
+
+
+def test_last_value_keeps_types_and_replays(spark):
+    """Large integers stay exact, equal times have one winner, NULL keys find nothing, batches may be smaller than Arrow's."""
+    big = 9007199254740993
+    schema = "left struct<k:string,id:bigint,t:bigint>, right struct<key:string,us:bigint,values:struct<v:bigint,w:string>>"
+    first = [(("k", big, 20), None), ((None, 1, 20), None), (None, ("k", 10, (big, "x"))), (None, ("k", 10, (big, None))), (None, (None, 5, (1, "n")))]
+    second = [(("k", 3, 30), None), (("k", 4, 12), None), (None, ("k", 25, (big + 2, "y"))), (None, ("j", 1, (5, "j")))]
+    third = [(("k", 5, 2), None), (("j", 6, 99), None)]
+    base, out = fresh_path(spark, "asof-small"), {}
+    join = st.LastValueJoin(base, "k", "t", ["v", "w"], lambda df, n: out.__setitem__(n, {(r.id, r.v, r.w) for r in df.collect()}))
+    frames = [spark.createDataFrame(rows, schema) for rows in (first, second, third)]
+    want = [{(big, big, "x"), (1, None, None)}, {(3, big + 2, "y"), (4, big, "x")}, {(5, big + 2, "y"), (6, 5, "j")}]
+    for size in ("7", "10000"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        for number in (0, 1, 1, 2, 2):
+            join(frames[number], number)
+            assert out[number] == want[number]
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
 def test_parse_is_the_same_on_a_stream(spark, tmp_path):
@@ -126,7 +146,14 @@ def test_late_rows_are_set_apart_not_dropped(spark, tmp_path):
         20,
         lambda df, n: on_time.extend(r[0] for r in df.collect()),
         lambda df, n: late.extend(r[0] for r in df.collect()),
+        str(tmp_path / "clock"),
     )
     stream = spark.readStream.schema("logts_timestamp long").option("maxFilesPerTrigger", 1).parquet(path)
     drain_batches(spark, stream, "late", handler)
     assert sorted(on_time) == [100, 190, 200, 250, 260] and sorted(late) == [90, 150]
+    # A new handler over the same folder goes on with the clock, and replays alike.
+    after = []
+    again = LateRows(20, lambda df, n: None, lambda df, n: after.extend(r[0] for r in df.collect()), str(tmp_path / "clock"))
+    for _ in range(2):
+        again(spark.createDataFrame([(239,), (240,)], "logts_timestamp long"), 3)
+    assert after == [239, 239]

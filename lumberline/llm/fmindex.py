@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumberline.llm.words import NON_ALNUM, Block, blocks, byte_table
+from lumberline.llm.words import NON_ALNUM, Block, blocks, byte_table, lean
 
 SHARD_BYTES = 4 << 20
 PHRASE_BYTES = 8 << 20
@@ -269,7 +269,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, phras
                 if batch.num_rows:
                     yield _search_batch(batch, phrases, table)
 
-        return df.mapInArrow(run, _SCHEMA)
+        return df.mapInArrow(lean(run), _SCHEMA)
 
     held, size, passes = [], 0, 0
     for item_id, text in benchmark.select("item_id", F.col("text").cast("string")).filter(F.col("text").rlike("[0-9A-Za-z]|[^\\x00-\\x7F]")).toLocalIterator():

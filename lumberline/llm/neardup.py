@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumberline.llm.store import stored
-from lumberline.llm.words import SPACES, Block, blocks, byte_table, mix
+from lumberline.llm.words import SPACES, Block, blocks, byte_table, lean, mix
 
 COMPONENTS, CHUNK, DISTANCE = 32, 4, 15
 # Bits differ with a probability of half the dissimilarity: of 1024, at 0.85, 77 on the
@@ -84,7 +84,7 @@ def signatures(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
             yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_shingles", "set_a", "set_b", "signature"])
 
     picked = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
-    return picked.mapInArrow(run, "doc_id bigint, n_shingles bigint, set_a bigint, set_b bigint, signature array<int>")
+    return picked.mapInArrow(lean(run), "doc_id bigint, n_shingles bigint, set_a bigint, set_b bigint, signature array<int>")
 
 
 def sketched(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
@@ -110,7 +110,7 @@ def sketched(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
             lists = pa.ListArray.from_arrays(offsets, pa.array(flat.ravel()))
             yield pa.RecordBatch.from_arrays([*batch.columns, lists], ["doc_id", "text", "sketch"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, text string, sketch array<bigint>")
+    return docs.select("doc_id", "text").mapInArrow(lean(run), "doc_id bigint, text string, sketch array<bigint>")
 
 
 def sketches_near(a: str, b: str) -> F.Column:
@@ -161,7 +161,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, percent: int, k: int = SHINGLE
 
     left = pairs.join(texts.withColumnsRenamed({"doc_id": "a", "text": "text_a"}), "a")
     whole = left.join(texts.withColumnsRenamed({"doc_id": "b", "text": "text_b"}), "b")
-    return whole.select("a", "b", "text_a", "text_b").mapInArrow(run, "a bigint, b bigint")
+    return whole.select("a", "b", "text_a", "text_b").mapInArrow(lean(run), "a bigint, b bigint")
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from lumberline.llm.ranks import ranked
 from lumberline.llm.store import stored
 from lumberline.llm.tokens import id_bytes, vocabulary_text
+from lumberline.llm.words import lean
 
 RANK_BITS = 44
 PIECE = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
@@ -55,7 +56,7 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = 4096, end_id: int =
             arrays = [pa.array(c, t) for c, t in zip(columns, kinds, strict=False)]
             yield pa.RecordBatch.from_arrays(arrays, names[: len(arrays)])
 
-    return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(cut, schema)
+    return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(lean(cut), schema)
 
 
 class _Gaps:

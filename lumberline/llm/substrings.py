@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumberline.llm.store import stored
-from lumberline.llm.words import SPACES, Block, blocks, byte_table, mix
+from lumberline.llm.words import SPACES, Block, blocks, byte_table, lean, mix
 
 SEED = 5
 _LOW = np.uint64((1 << 20) - 1)  # a block has fewer words than this
@@ -89,7 +89,7 @@ def seeds(docs: DataFrame, window: int) -> DataFrame:
                 arrays = [part, pa.array(seed, mask=again), extent, doc, at, lead, size]
                 yield pa.RecordBatch.from_arrays([pa.array(a).cast(t) for a, t in zip(arrays, _KINDS, strict=True)], _OUT)
 
-    return docs.mapInArrow(run, "part bigint, seed bigint, extent bigint, doc_id bigint, at int, lead smallint, size smallint")
+    return docs.mapInArrow(lean(run), "part bigint, seed bigint, extent bigint, doc_id bigint, at int, lead smallint, size smallint")
 
 
 def _asked_windows(docs: DataFrame, asked: DataFrame, window: int) -> DataFrame:
@@ -112,7 +112,7 @@ def _asked_windows(docs: DataFrame, asked: DataFrame, window: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], ["seed", "hash", "doc_id", "start"])
 
     per_doc = asked.groupBy("doc_id").agg(F.collect_set("at").alias("asked"))  # a document's own anchors
-    return docs.join(per_doc, "doc_id").select("doc_id", "text", "asked").mapInArrow(run, "seed bigint, hash bigint, doc_id bigint, start int")
+    return docs.join(per_doc, "doc_id").select("doc_id", "text", "asked").mapInArrow(lean(run), "seed bigint, hash bigint, doc_id bigint, start int")
 
 
 def repeats(docs: DataFrame, window: int = 20) -> DataFrame:
@@ -189,4 +189,4 @@ def without_repeats(docs: DataFrame, window: int = 20, keep_text: bool = False)
 
     judged = known.join(spans, "doc_id", "left")
     unplaced = picked.filter("doc_id is null").withColumn("spans", F.lit(None).cast("array<struct<start:int,end:int>>"))
-    return judged.unionByName(unplaced).mapInArrow(run, schema)
+    return judged.unionByName(unplaced).mapInArrow(lean(run), schema)

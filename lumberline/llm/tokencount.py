@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumberline.llm.tokens import Memo, Splitter, as_byte_letters, vocabulary_text
+from lumberline.llm.words import lean
 
 NEVER = 1 << 60
 PAIR_MEMO = 1_000_000
@@ -196,7 +197,7 @@ def count_tokens(docs: DataFrame, path: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), n_bytes, n_tokens], ["doc_id", "n_bytes", "n_tokens"])
 
     picked = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
-    return picked.mapInArrow(count, "doc_id bigint, n_bytes bigint, n_tokens bigint")
+    return picked.mapInArrow(lean(count), "doc_id bigint, n_bytes bigint, n_tokens bigint")
 
 
 def prefix_table(docs: DataFrame, path: str) -> DataFrame:
@@ -211,7 +212,7 @@ def prefix_table(docs: DataFrame, path: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), counts], ["doc_id", "counts"])
 
     picked = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
-    return picked.mapInArrow(tables, "doc_id bigint, counts array<int>")
+    return picked.mapInArrow(lean(tables), "doc_id bigint, counts array<int>")
 
 
 def longest_prefix(counts: np.ndarray | list[int], budget: int) -> int:
@@ -236,4 +237,4 @@ def truncated(docs: DataFrame, path: str, budget: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "text", "n_tokens"])
 
     picked = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
-    return picked.mapInArrow(cut, "doc_id bigint, text string, n_tokens bigint")
+    return picked.mapInArrow(lean(cut), "doc_id bigint, text string, n_tokens bigint")

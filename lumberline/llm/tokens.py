@@ -16,7 +16,7 @@ import regex
 from tokenizers import Tokenizer
 
 # Chunks remembered by one Python worker; beyond that it starts afresh (bounded memory).
-MEMO_SIZE = 500_000
+MEMO_SIZE = 200_000
 
 
 def vocabulary_text(path: str) -> str:

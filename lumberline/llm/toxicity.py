@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructType
 
-from lumberline.llm.words import NON_ALNUM, Block, blocks, byte_table, mix
+from lumberline.llm.words import NON_ALNUM, Block, blocks, byte_table, lean, mix
 
 BITS = 20
 BIAS = 1 << BITS  # the place after the hashed ones
@@ -111,8 +111,8 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
 
     # The sample's ids are at most sample_rows; so are the rows that meet in one task for the fit.
     sample = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string")).join(F.broadcast(chosen), "doc_id")
-    extracted = sample.select("doc_id", "text", "label").mapInArrow(extract, "doc_id bigint, label int, places array<int>")
-    model = extracted.repartition(1).mapInArrow(learn, "place bigint, weight double")
+    extracted = sample.select("doc_id", "text", "label").mapInArrow(lean(extract), "doc_id bigint, label int, places array<int>")
+    model = extracted.repartition(1).mapInArrow(lean(learn), "place bigint, weight double")
     return dict(map(tuple, model.collect()))  # at most 2**20 + 1 weights
 
 
@@ -138,7 +138,7 @@ def scored(docs: DataFrame, weights: dict[int, float]) -> DataFrame:
                 out.append(1 / (1 + np.exp(-np.clip(total, -35, 35))))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(out))], [*batch.schema.names, "score"])
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields]).add("score", DoubleType()))
+    return docs.mapInArrow(lean(run), StructType([*docs.schema.fields]).add("score", DoubleType()))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:

@@ -7,7 +7,8 @@ running sums; no Python object is made per word.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import cache
 
@@ -15,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 
 BLOCK_BYTES = 1 << 20
+USUAL_POWERS = BLOCK_BYTES + (1 << 16)  # a block's bytes and one more for each of its rows
 _BYTE_BASE = 0x9E3779B97F4A7C15 | 1
 _WORD_BASE = 0xD1342543DE82EF95 | 1
 
@@ -33,7 +35,23 @@ SPACES = bytes([0x20, *range(0x09, 0x0E)])
 NON_ALNUM = bytes([*range(0x00, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)])
 
 
-@cache
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """``run`` for mapInArrow, giving freed memory back to the system at the end of each task.
+
+    Python workers stay for later tasks; what their allocators hoard counts against the
+    executor, together with what the next stage needs.
+    """
+
+    def to_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+        if trim:
+            trim(0)
+
+    return to_end
+
+
 def _powers(base: int, size: int) -> tuple[np.ndarray, np.ndarray]:
     """base**i and base**-i modulo 2**64 for i below size."""
     def run(step: int) -> np.ndarray:
@@ -48,8 +66,14 @@ def _powers(base: int, size: int) -> tuple[np.ndarray, np.ndarray]:
     return run(base), run(pow(base, -1, 1 << 64))
 
 
+@cache
+def _usual_powers(base: int) -> tuple[np.ndarray, np.ndarray]:
+    return _powers(base, USUAL_POWERS)
+
+
 def _up_to(base: int, size: int) -> tuple[np.ndarray, np.ndarray]:
-    return _powers(base, 1 << max(10, (size - 1).bit_length()))
+    """Powers for at least ``size``: those of usual blocks are kept, those of longer texts made anew."""
+    return _usual_powers(base) if size <= USUAL_POWERS else _powers(base, size)
 
 
 def mix(h: np.ndarray) -> np.ndarray:

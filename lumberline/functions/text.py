@@ -41,12 +41,9 @@ def url_pairs_valid(pairs: Column) -> Column:
 
 
 def url_map(pairs: Column) -> Column:
-    """Pairs -> MAP<STRING,STRING>; the last value of a repeated key wins."""
-    last = F.filter(
-        pairs,
-        lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda later: later["key"] == p["key"]),
-    )
-    return F.map_from_entries(F.transform(last, lambda p: F.struct(p["key"], p["value"])))
+    """Pairs -> MAP<STRING,STRING>; the last value of a repeated key wins (by the session's map policy)."""
+    known = F.filter(pairs, lambda p: p["key"].isNotNull())
+    return F.map_from_entries(F.transform(known, lambda p: F.struct(p["key"], p["value"])))
 
 
 def url_multi_map(pairs: Column) -> Column:

@@ -161,13 +161,13 @@ def sink_json(spark, sf_dir):
     return spark.read.text(path)
 
 
-TEMPLATE = "Logline from ${host} @ ${logts}. Source PID was ${pid}. ${nothing} ${args.k} ${srcip}"
+TEMPLATE = "[${pid}] ${host} wrote at ${logts}: k=${args.k}, ${nothing}, ${srcip}"
 
 
 @query(
     "sink_template",
-    f"""WITH {PARTS} SELECT 'Logline from ' || host || ' @ ' || logts || '. Source PID was ' || pid || '. ${{nothing}} ' ||
-        coalesce(json_extract_string(props, '$.k'), '') || ' ${{srcip}}' AS value FROM parts""",
+    f"""WITH {PARTS} SELECT '[' || pid || '] ' || host || ' wrote at ' || logts || ': k=' ||
+        coalesce(json_extract_string(props, '$.k'), '') || ', ${{nothing}}, ${{srcip}}' AS value FROM parts""",
 )
 def sink_template(spark, sf_dir):
     nested = PatternSet(

@@ -20,17 +20,19 @@ def scan_csv(
     content: str | None = None,
     header: bool = True,
     fields: Mapping[str, str] | None = None,
+    multiline: bool = False,
 ) -> DataFrame:
     """CSV from files or inline text. Everything is text unless declared ``int``.
 
     Without a header the declared ``fields`` name the columns in order. A record
     with fewer values than names is an error, and so is a non-numeric ``int``.
+    ``multiline`` allows line breaks inside quotes; such files are not split.
     """
     fields = dict(fields or {})
     if not header and not fields:
         raise ValueError("a CSV input without a header needs its fields declared")
     if path is not None:
-        reader = spark.read.option("header", header).option("mode", "FAILFAST").option("escape", "\\")
+        reader = spark.read.option("header", header).option("mode", "FAILFAST").option("escape", "\\").option("multiLine", multiline)
         if not header:
             reader = reader.schema(T.StructType([T.StructField(f, T.StringType()) for f in fields]))
         raw = reader.csv(path if isinstance(path, str) else list(path))

@@ -30,18 +30,18 @@ def test_base_patterns(lines):
 def test_siblings_and_children(lines):
     ps = PatternSet(
         [
-            {"name": "custom_int", "parent": "events", "pattern": "%{INT:customvalue}"},
-            {"name": "custom_str", "parent": "events", "pattern": "%{LD:customvalue}"},
-            {"name": "custom_key", "parent": "custom_str", "field": "customvalue", "pattern": "key=%{LD:keyvalue}"},
+            {"name": "amount", "parent": "events", "pattern": "%{INT:seen}"},
+            {"name": "phrase", "parent": "events", "pattern": "%{LD:seen}"},
+            {"name": "setting", "parent": "phrase", "field": "seen", "pattern": "key=%{LD:set_to}"},
         ]
     )
-    assert len(ps.nodes) == 5
-    df = parse(lines("4", "random string", "key=keyval"), ps)
-    number, text, key = rows(df)
-    assert number["event_type"] == "custom_int" and number["customvalue"] == "4"
-    assert rows(events_of(df, ps, "custom_int"))[0]["customvalue"] == 4
-    assert text["customvalue"] == "random string"
-    assert key["event_type"] == "custom_key" and "custom_str" in key["match_path"] and key["keyvalue"] == "keyval"
+    df = parse(lines("key=keyval", "random string", "4"), ps)
+    setting, phrase, amount = rows(df)
+    assert setting["match_path"][-2:] == ["phrase", "setting"] and setting["set_to"] == "keyval"
+    assert (phrase["event_type"], phrase["seen"], phrase["set_to"]) == ("phrase", "random string", None)
+    assert (amount["event_type"], amount["seen"]) == ("amount", "4")
+    assert [r["seen"] for r in rows(events_of(df, ps, "amount"))] == [4]
+    assert set(ps.nodes) == {"events", "logevents", "amount", "phrase", "setting"}
 
 
 def test_source_time(lines):

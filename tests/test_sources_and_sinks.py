@@ -53,6 +53,8 @@ def test_csv(spark, tmp_path):
         scan_csv(spark, content="1,2", header=False)
     with pytest.raises(ValueError):
         scan_csv(spark)
+    path.write_text('a,b\n"two\nlines",2\n')
+    assert [tuple(r) for r in scan_csv(spark, str(path), multiline=True).collect()] == [("two\nlines", "2")]
     path.write_text("a,b\n1\n")
     with pytest.raises(Exception, match="(?i)malformed|failfast"):
         scan_csv(spark, str(path)).collect()

@@ -23,7 +23,6 @@ from lumberline.llm.store import stored
 from lumberline.llm.words import SPACES, Block, blocks, byte_table, lean, mix
 
 SEED = 5
-_LOW = np.uint64((1 << 20) - 1)  # a block has fewer words than this
 
 
 def _winnow(block: Block, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -34,14 +33,14 @@ def _winnow(block: Block, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarr
     dense = np.zeros(n, np.uint64)
     dense[at] = run
     key = np.full(n + window, ~np.uint64(0))
-    key[at] = (run & ~_LOW) | (_LOW - at.astype(np.uint64))  # of equal ones the last
-    span = 1
+    key[at] = run
+    place, span = np.arange(n + window), 1
     while span < width:
         by = min(span, width - span)
-        key = np.minimum(key[:-by], key[by:])
+        later = key[by:] <= key[:-by]  # of equal ones the last
+        key, place = np.where(later, key[by:], key[:-by]), np.where(later, place[by:], place[:-by])
         span += by
-    anchor = (_LOW - (key[start] & _LOW)).astype(np.int64)
-    return start, whole, anchor, dense
+    return start, whole, place[start], dense
 
 
 def _extents(block: Block, window: int) -> tuple[np.ndarray, ...]:

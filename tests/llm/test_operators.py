@@ -9,10 +9,12 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from lumberline.llm import fmindex, neardup, packing, secretscan, sharding, spotsigs, substrings, surrogates, tokencount, toxicity
-from lumberline.llm.words import NON_ALNUM, byte_table
+from lumberline.llm import words as words_of
+from lumberline.llm.words import NON_ALNUM, SPACES, byte_table
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -137,6 +139,18 @@ def test_repeats(docs, window):
             assert tuple(r)[1:] == want[r.doc_id]
 
 
+def test_repeats_behind_a_million_words(make):
+    passage = " ".join(f"p{i}" for i in range(30))
+    long = " ".join(f"{i:x}" for i in range((1 << 20) + 50)) + " " + passage + " end"
+    block = next(words_of.blocks(pa.array([long]), byte_table(SPACES, False)))
+    start, _, anchor, dense = substrings._winnow(block, 20)
+    for i in [0, 1, len(start) // 2, *range(len(start) - 90, len(start))]:
+        runs = dense[start[i] : start[i] + 16]
+        assert anchor[i] == start[i] + 15 - np.argmin(runs[::-1])
+    got = {r.doc_id: tuple(r)[1:3] for r in substrings.without_repeats(make([(1, "x " + passage), (2, long)]), 20).collect()}
+    assert got == {1: (31, 0), 2: ((1 << 20) + 81, 30)}
+
+
 def brute_components(rows, percent):
     sets, root = {}, {}
     for i, t in rows:

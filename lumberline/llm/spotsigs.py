@@ -1,7 +1,10 @@
 """SpotSigs fingerprints: chains of content words that follow common words.
 
 Every common word (and the start of the text) is an anchor; its signature is the anchor
-with the next two words that are not common. A fingerprint is the set of signatures.
+with the next two words that are not common. A word that no anchor's chain holds, because
+neither it nor the word before follows a common word, has a signature with the word after
+it and no anchor, so every word of a text that is not common is in a signature. A
+fingerprint is the set of signatures.
 """
 
 from __future__ import annotations
@@ -11,26 +14,65 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumberline.functions.binding import let
 from lumberline.llm.store import stored
 
 # Common words of English, German, French and Spanish.
-ANCHORS = (
-    "the", "a", "is", "was", "that", "it",
-    "der", "die", "ist", "und",
-    "le", "la", "est", "et",
-    "el", "es", "y", "con",
-)
-_ANY = r"(?:\^|" + "|".join(ANCHORS) + ")"
-# At an anchor, without using up text: the anchor, then two words, each after up to 8 more anchors.
-_CHAIN = rf"(?<= )(?=({_ANY} (?:{_ANY} ){{0,8}}+[^ ]*+ ?+(?:{_ANY} ){{0,8}}+[^ ]*+))"
+ANCHORS = tuple(dict.fromkeys("""
+the a an and or but if then than that this these those there here is am are was were be been being do does did done doing
+have has had having will would shall should can could may might must i you he she it we they me him her us them my your his
+its our their mine yours hers ours theirs who whom whose which what when where why how not no nor so too very just only own
+same such some any each every all both few more most other another of at by for with about against between into through during
+before after above below to from up down in out on off over under again further once as until while because also now ever never
+der die das den dem des ein eine einen einem einer eines und oder aber wenn dann als dass daß ob weil ist bin bist sind seid war
+waren warst wird werden wurde wurden habe hat haben hatte hatten kann können konnte muss müssen soll sollen will wollen ich du er
+sie es wir ihr mich dich ihn uns euch mir dir ihm ihnen mein meine dein deine sein seine ihre unser unsere euer dieser diese dieses
+diesen diesem jener jene jedes jeder jede alle nicht kein keine keinen nur noch schon auch sehr so wie was wer wo warum hier da dort
+in im an am auf aus bei mit nach von vom vor zu zum zur für gegen ohne um durch über unter zwischen bis seit während doch nun man
+le la les un une des du de au aux et ou mais si donc car ni que qui quoi dont où quand comment pourquoi est suis es sommes êtes sont
+était étaient été être sera ai as a avons avez ont avait avaient avoir je tu il elle on nous vous ils elles me te se lui leur leurs
+mon ma mes ton ta tes son sa ses notre nos votre vos ce cet cette ces ne pas plus moins très aussi même tout tous toute toutes
+dans en sur sous avec sans pour par chez vers entre avant après depuis pendant comme y
+el los las una unos unas del al y e o u pero sino porque como cuando donde quien cual cuyo qué cómo cuándo dónde quién soy eres
+somos son era eran fue fueron ser sido está están estoy estaba estar he has ha hemos han había haber yo tú él ella nosotros ellos
+ellas usted ustedes lo les se mi mis tu tus su sus nuestro nuestra este esta estos estas ese esa esos esas aquel aquella no sí ni
+muy más menos también ya todo toda todos todas otro otra con sin por para sobre entre hasta desde hacia durante ante bajo según
+""".split()))
+
+
+def _trie(words: tuple[str, ...]) -> str:
+    """A pattern for any of the words, in which words share their beginnings; the longest first."""
+    if words == ("",):
+        return ""
+    heads = sorted({w[0] for w in words if w})
+    ways = [h + _trie(tuple(sorted({w[1:] for w in words if w.startswith(h)}))) for h in heads]
+    return f"(?:{'|'.join(ways)})" + ("?" if "" in words else "")
+
+
+# An anchor between spaces is tied to the word behind it: chains then are found by position.
+_TIE = "\x1f"
+_ANCHOR = f"(?<= )({_trie(ANCHORS)}) "
 _LOWEST = -(1 << 63)
 
 
 def signature_set(text: Column) -> Column:
     """The sorted distinct 64-bit signatures of a text; none for a text without letters or digits."""
     words = F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "))
-    chains = F.regexp_extract_all(F.concat(F.lit(" ^ "), words, F.lit(" ")), F.lit(_CHAIN), F.lit(1))
-    spots = F.transform(chains, lambda c: F.xxhash64(F.regexp_replace(c, rf" (?:{_ANY} )+", " ")))
+    tied = F.trim(F.regexp_replace(F.concat(F.lit(" "), words, F.lit(" ")), _ANCHOR, f"$1{_TIE}"))
+    # Of each word that is not common: the anchors before it, and itself.
+    runs = F.transform(F.split(F.concat(F.lit(f"^{_TIE}"), tied), " "), lambda w: F.split(w, _TIE))
+
+    def chains(runs: Column) -> Column:
+        def of(run: Column, i: Column) -> Column:
+            following = F.coalesce(F.element_at(F.get(runs, i + 1), -1), F.lit(""))
+            sign = lambda anchor: F.xxhash64(F.concat_ws(" ", anchor, F.element_at(run, -1), following))
+            held = (F.size(run) > 1) | (F.size(F.get(runs, i - 1)) > 1)
+            # The anchors are all but the last; a word that no chain holds has an empty one.
+            return F.transform(F.when(held, F.slice(run, 1, F.size(run) - 1)).otherwise(F.array(F.lit(""))), sign)
+
+        return F.flatten(F.transform(runs, of))
+
+    spots = let(runs, chains)
     return F.when(words == "", F.expr("cast(array() as array<bigint>)")).otherwise(F.array_sort(F.array_distinct(spots)))
 
 

@@ -11,6 +11,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from lumberline.llm import fmindex, neardup, packing, secretscan, sharding, spotsigs, substrings, surrogates, tokencount, toxicity
 from lumberline.llm import words as words_of
@@ -304,6 +305,37 @@ def test_fingerprints(docs):
         assert by_text.setdefault(text, r.fingerprint) == r.fingerprint
 
 
+def brute_chains(text):
+    """The (anchor, word, next word) chains of a text of lower-case words."""
+    out, anchors, runs = set(), ["^"], []
+    for w in text.split():
+        if w in spotsigs.ANCHORS:
+            anchors.append(w)
+        else:
+            runs.append((anchors, w))
+            anchors = []
+    if anchors:
+        runs.append((anchors, ""))
+    for i, (anchors, w) in enumerate(runs):
+        held = anchors or (i > 0 and runs[i - 1][0])
+        out |= {(a, w, runs[i + 1][1] if i + 1 < len(runs) else "") for a in (anchors if held else [""])}
+    return out
+
+
+def test_signatures_hold_every_word(spark):
+    plain = " ".join(f"w{i}" for i in range(400))
+    texts = [
+        plain, "the and attion " + plain, " ".join(f"v{i}" for i in range(400)), "the " * 12 + "w1 w2 w3 w4", "w1 " + "of the " * 20 + "w2", "is it", "w1 w2 the", "w1",
+    ]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    want = spark.createDataFrame([(i, " ".join(c)) for i, t in enumerate(texts) for c in brute_chains(t)], "i int, c string")
+    want = {r.i: r.s for r in want.groupBy("i").agg(F.array_sort(F.collect_set(F.xxhash64("c"))).alias("s")).collect()}
+    got = {r.i: r.s for r in df.select("i", spotsigs.signature_set(F.col("t")).alias("s")).collect()}
+    assert got == want and len(got[0]) > 390
+    alike = lambda a, b: len(set(got[a]) & set(got[b])) / len(set(got[a]) | set(got[b]))
+    assert alike(0, 1) > 0.9 and alike(0, 2) == 0
+
+
 def test_similar_classes(docs):
     classes = spotsigs.signature_classes(docs.filter("doc_id is not null"))
     sets = {r.rep: set(r.sigs) for r in classes.collect()}

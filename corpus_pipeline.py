@@ -28,7 +28,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = stored(neardup.near_duplicates(docs), "components")
+    found = stored(neardup.near_duplicates(docs, percent=80), "components")
     return _without(docs, found.filter(~F.col("kept")))
 
 

@@ -182,6 +182,31 @@ def test_near_duplicates(docs):
         assert (r.component_id, r.kept) == (None, True) if r.doc_id is None else tuple(r)[1:] == want[r.doc_id]
 
 
+def test_near_duplicates_from_other_percentages():
+    for percent in range(1, 101):
+        plan = neardup.layout(percent)
+        if plan.components <= 200:  # missed: all chunks differ in two components or more
+            p, width = 1 - percent / 100, plan.width
+            once = (1 - p) ** width + width * p * (1 - p) ** (width - 1)
+            assert (1 - once) ** plan.chunks < 1e-4, percent
+    assert neardup.layout(85) == neardup.Layout(8, 4, 122)
+
+
+def test_near_duplicates_at_four_fifths(spark, make):
+    rng, rows = random.Random(8), []
+    for i in range(300):
+        w = [f"w{rng.randrange(10**6)}" for _ in range(94)]
+        lost = 11 if i % 6 == 0 else 10  # 79 of 101 or 80 of 100 shingles
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join([*w[:-lost], *(f"v{rng.randrange(10**6)}" for _ in range(lost))]))]
+    want = brute_components(rows, 80)
+    got = {r.doc_id: tuple(r)[1:] for r in neardup.near_duplicates(make(rows), percent=80).collect()}
+    assert got == want and sum(not v[2] for v in want.values()) == 250
+    import corpus_pipeline
+
+    kept = {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, make(rows), "").collect()}
+    assert kept == {i for i, v in want.items() if v[2]}
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (7, 3)], "a bigint, b bigint")
     got = {r.node: r.root for r in neardup.components(edges).collect()}

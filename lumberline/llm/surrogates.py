@@ -82,8 +82,8 @@ def _filled(form: Column, digits: Column) -> Column:
     return F.array_join(F.transform(F.split(form, ""), of), "")
 
 
-def _drawn(key: str) -> Column:
-    """The surrogate's normal form for (type, form, attempt)."""
+def _drawn(key: str, attempt: int) -> Column:
+    """The surrogate's normal form for (type, form, attempt). Names grow by a syllable with each attempt."""
     digits, form = _hash_digits(key), F.col("form")
     local, domain = F.substring_index(form, "@", 1), F.substring_index(form, "@", -1)
     top = F.substring_index(domain, ".", -1)
@@ -98,10 +98,9 @@ def _drawn(key: str) -> Column:
 
     def name(which: str) -> Column:
         table = F.array(*map(F.lit, SYLLABLES[which]))
-        syllables = [table[_at(digits, 4 * i, 4).cast("int") % 16] for i in range(3)]
-        more = F.when(F.col("attempt") > 0, table[_at(digits, 12, 4).cast("int") % 16]).otherwise("")
+        syllables = [table[_at(digits, 4 * i, 4).cast("int") % 16] for i in range(min(3 + attempt, 32))]  # as many as there are digits for
         end = F.when(F.col("type") == "given_m", ENDINGS[which][0]).when(F.col("type") == "given_f", ENDINGS[which][1]).otherwise(ENDINGS[which][2])
-        return F.concat(*syllables, more, end)
+        return F.concat(*syllables, end)
 
     names = F.when(script == "cyrillic", name("cyrillic")).when(script == "greek", name("greek")).otherwise(name("latin"))
     kind = F.col("type")
@@ -125,7 +124,7 @@ def assign_surrogates(entities: DataFrame, key: str, rounds: int = 40) -> DataFr
     settled = entities.filter("false").withColumn("surrogate", F.lit(""))
     open_ = entities
     for attempt in range(rounds):
-        drawn = open_.withColumn("attempt", F.lit(attempt)).withColumn("surrogate", _drawn(key)).drop("attempt")
+        drawn = open_.withColumn("attempt", F.lit(attempt)).withColumn("surrogate", _drawn(key, attempt)).drop("attempt")
         taken = entities.select("type", F.col("form").alias("surrogate")).unionByName(settled.select("type", "surrogate")).distinct()
         rank = F.row_number().over(Window.partitionBy("type", "surrogate").orderBy("form"))
         judged = drawn.withColumn("rank", rank).join(taken.withColumn("taken", F.lit(True)), ["type", "surrogate"], "left")

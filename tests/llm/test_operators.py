@@ -401,6 +401,12 @@ def test_colliding_surrogates_are_drawn_again(spark):
     assert len(got) == 3000 == len({r.surrogate for r in got}) and not {r.surrogate for r in got} & {r.form for r in got}
 
 
+def test_names_outgrow_their_first_syllables(spark):
+    names = spark.range(70000).selectExpr("'family' as type", "concat('n', id) as form")
+    got = surrogates.assign_surrogates(names, "k", rounds=8)
+    assert got.count() == 70000 == got.select("surrogate").distinct().count()
+
+
 def test_toxicity_learns_and_never_sees_held_out_rows(spark):
     rng = random.Random(2)
     plain = [f"w{i}" for i in range(200)]

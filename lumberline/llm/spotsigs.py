@@ -117,14 +117,15 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     own = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_LOWEST)).alias("d"), text.alias("text")).withColumn("h", F.xxhash64("text"))
     links = followed(own)
-    signed = own.withColumn("sigs", signature_set(F.col("text"))).join(links, ["d", "h"])
-    patch = F.substring("text", F.lit(1), F.col("need"))
-    following = signed.select(F.col("pd").alias("d"), F.col("ph").alias("h"), patch.alias("patch"), F.col("sigs").alias("next_sigs"))
-    following = following.groupBy("d", "h").agg(F.first("patch").alias("patch"), F.first("next_sigs").alias("next_sigs"))
+    # Texts move, not signatures: those are more bytes than the words they are made of.
+    linked = own.join(links, ["d", "h"])
+    following = linked.select(F.col("pd").alias("d"), F.col("ph").alias("h"), F.col("text").alias("next"), "need")
+    following = following.groupBy("d", "h").agg(F.first("next").alias("next"), F.first("need").alias("need"))
     n = F.length("text")
     kept = F.substring("text", F.lit(1), (n - F.floor(n / 4)).cast("int"))
-    both = signed.select("d", "h", "text", "sigs").join(following, ["d", "h"]).withColumn("edited", F.concat(kept, F.col("patch")))
-    both = both.withColumn("edited_sigs", signature_set(F.col("edited")))
+    patch = F.substring("next", F.lit(1), F.col("need"))
+    both = linked.select("d", "h", "text").join(following, ["d", "h"]).withColumn("edited", F.concat(kept, patch))
+    both = both.withColumns({"sigs": signature_set(F.col("text")), "edited_sigs": signature_set(F.col("edited")), "next_sigs": signature_set(F.col("next"))})
     return both.select(
         F.when(F.col("d") != _LOWEST, F.col("d")).alias("doc_id"),
         n.cast("bigint").alias("n_chars"),

@@ -23,18 +23,30 @@ def assemble_lines(
     separator: str = "\n",
     width: int = 100_000,
     tie: Sequence[str] = (),
+    max_chars: int | None = None,
 ) -> DataFrame:
     """Join physical lines into entries; a new entry begins where ``start`` holds.
 
     Lines stand in the order of ``position`` (a number), then ``tie``.
 
     Entry numbers come from a chunked running count, so one long file is not one
-    task. The text of a single entry is one value and has to fit a row anyway.
+    task. The text of a single entry is one value and has to fit a row; ``max_chars``
+    bounds it (see :func:`split_entries`), and adds ``entry_part`` and ``continues``.
     """
-    numbered = running(lines, keys, position, sums={"entry": F.when(start, 1).otherwise(0)}, tie=tie, width=width)
+    if max_chars is None:
+        numbered = running(lines, keys, position, sums={"entry": F.when(start, 1).otherwise(0)}, tie=tie, width=width)
+        return join_lines(numbered, [*keys, "entry"], position, text, separator, tie)
+    pieces = split_entries(lines, keys, position, text, start, separator, width, tie, max_chars)
+    return join_lines(pieces, [*keys, "entry", "entry_part", "continues"], position, text, separator, tie)
+
+
+def join_lines(
+    numbered: DataFrame, group: Sequence[str], position: str, text: str, separator: str, tie: Sequence[str] = ()
+) -> DataFrame:
+    """One row for each group of lines: ``first_position``, ``n_lines`` and the joined text."""
     ordered = F.array_sort(F.collect_list(F.struct(position, *tie, text)))
     return (
-        numbered.groupBy(*keys, "entry")
+        numbered.groupBy(*group)
         .agg(ordered.alias("__lines"), F.min(position).alias("first_position"))
         .withColumn("n_lines", F.size("__lines"))
         .withColumn(text, F.array_join(F.transform("__lines", lambda x: x[text]), separator))
@@ -42,6 +54,36 @@ def assemble_lines(
     )
 
 
+def split_entries(
+    lines: DataFrame, keys: Sequence[str], position: str, text: str, start: Column, separator: str = "\n",
+    width: int = 100_000, tie: Sequence[str] = (), max_chars: int = 1 << 20, before: str = "__before",
+) -> DataFrame:
+    """Number the lines' entries, and cut entries of more than ``max_chars`` characters into parts.
+
+    Adds ``entry``, ``entry_part`` (how often ``max_chars`` fits into the entry's characters
+    before the line), ``continues`` (a later part follows) and ``before``, those
+    characters. Lines that already have a ``before`` go on with an entry that began
+    earlier. A part holds at most ``max_chars`` and one line more; no line is lost.
+    """
+    if clash := {"entry", "entry_part", "continues"} & set(lines.columns):
+        raise ValueError(f"lines already have columns named {sorted(clash)}")
+    own = F.coalesce(F.length(text), F.lit(0)) + F.lit(len(separator))
+    numbered = running(lines, keys, position, sums={"entry": F.when(start, 1).otherwise(0)}, tie=tie, width=width)
+    local = running(numbered, [*keys, "entry"], position, sums={"__local": own}, tie=tie, width=width)
+    local = local.withColumns({"__local": F.col("__local") - own, "__entry": F.struct(*keys, "entry")})
+    if before in lines.columns:
+        known = local.filter(F.col(before).isNotNull()).groupBy(F.col("__entry").alias("__of"))
+        bases = known.agg(F.max(F.col(before) - F.col("__local")).alias("__base"))
+        local = local.join(bases, F.col("__entry") == F.col("__of"), "left").drop("__of")
+    else:
+        local = local.withColumn("__base", F.lit(0))
+    at = F.coalesce("__base", F.lit(0)) + F.col("__local")
+    parts = local.withColumns({before: at.cast("bigint"), "entry_part": F.floor(at / F.lit(max_chars)).cast("bigint")})
+    ends = parts.groupBy(F.col("__entry").alias("__of")).agg(F.max("entry_part").alias("__end"))
+    marked = parts.join(ends, F.col("__entry") == F.col("__of")).withColumn("continues", F.col("entry_part") < F.col("__end"))
+    return marked.drop("__local", "__entry", "__base", "__of", "__end")
+
+
 def followed_by(
     first: DataFrame, second: DataFrame, on: Sequence[tuple[str, str]],
     first_ts: str, second_ts: str, within_us: int, columns: Sequence[str],

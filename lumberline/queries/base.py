@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lumberline.functions.times import epoch_micros
 from lumberline.plans.patterns import PatternSet
-from lumberline.session import prepare
+from lumberline.session import fresh_path, prepare
 from lumberline.sources.lines import spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -53,6 +53,18 @@ def events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.withColumn("ts_us", epoch_micros(F.col("ts")))
 
 
+def replayed(df: DataFrame, order: str, label: str, parts: int = 4) -> DataFrame:
+    """The rows as a stream that reads one of ``parts`` stretches of ``order`` per micro-batch, one after another."""
+    spark = df.sparkSession
+    path, files = fresh_path(spark, label), spark.sparkContext.defaultParallelism
+    cuts = df.approxQuantile(order, [i / parts for i in range(1, parts)], 0.01)
+    for low, high in zip([None, *cuts], [*cuts, None], strict=True):
+        part = df if low is None else df.filter(F.col(order) >= low)
+        part = part if high is None else part.filter(F.col(order) < high)
+        part.repartition(files).write.mode("append").parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", files).parquet(path)
+
+
 def line_of(props: Column | str = "props") -> Column:
     """A prefixed log line made from an event row."""
     return F.concat(
@@ -79,6 +91,8 @@ def line_sql(props: str = "props") -> str:
     )
 
 
+# Events that a watermark without lateness has passed at the end of the table.
+PASSED = "passed AS (SELECT * FROM events WHERE epoch_us(ts) // 1000 < (SELECT max(epoch_us(ts)) // 1000 FROM events))"
 LINES = f"lines AS (SELECT *, {line_sql()} AS line FROM events)"
 # What a prefixed line parses into, by splitting it at its tabs.
 PARTS = (

@@ -506,10 +506,10 @@ def win_prev_prior(spark, sf_dir):
 
 
 @query(
-    "win_expiry_stream",
+    "win_expiry",
     "SELECT event_id, ts + INTERVAL 10 DAY AS expires_at FROM events WHERE ts + INTERVAL 10 DAY <= (SELECT max(ts) FROM events)",
 )
-def win_expiry_stream(spark, sf_dir):
+def win_expiry(spark, sf_dir):
     gone = wn.expiries(events(spark, sf_dir), "ts_us", 240 * HOUR)
     return gone.select("event_id", micros_to_ntz(F.col("expires_us")).alias("expires_at"))
 

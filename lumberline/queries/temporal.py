@@ -9,12 +9,14 @@ from lumberline.operators import windows as wn
 from lumberline.plans.parse import events_of, parse
 from lumberline.plans.patterns import PatternSet
 from lumberline.operators.joins import interval_join_stream
-from lumberline.queries.base import APP_TYPES, events, events_stream, log_lines, log_lines_stream, query, table
+from lumberline.queries.base import APP_TYPES, PASSED, events, events_stream, log_lines, log_lines_stream, query, replayed, table
 from lumberline.queries.relational import CENTS, HOUR, SECOND, dbl, side
 from lumberline.session import fresh_path
 from lumberline.sinks.snapshots import SnapshotStore
+from lumberline.streaming import stateful as st
+from lumberline.streaming.held import AssembleLines, NamedWindow, keep_latest, run_window, stop_window
 from lumberline.streaming.patterns import not_followed_by_stream
-from lumberline.streaming.runner import drain, from_time, on_event_clock
+from lumberline.streaming.runner import drain, drain_batches, from_time, on_event_clock
 
 
 @query(
@@ -75,15 +77,7 @@ def on_demand_query(spark, sf_dir):
 _ITEM = "'  item ' || l_linenumber || ' part ' || l_partkey || ' qty ' || CAST(l_quantity AS INTEGER)"
 
 
-@query(
-    "multiline_assembly",
-    f"""WITH lines AS (SELECT CAST(o_orderkey AS BIGINT) AS k, 0 AS line, 0 AS part, 'ORDER ' || o_orderkey || ' ' || o_orderstatus AS text FROM orders
-              UNION ALL SELECT l_orderkey, l_linenumber, l_partkey, {_ITEM} FROM lineitem),
-            entries AS (SELECT *, sum(CASE WHEN starts_with(text, 'ORDER ') THEN 1 ELSE 0 END) OVER (ORDER BY k, line, part, text ROWS UNBOUNDED PRECEDING) AS entry FROM lines)
-       SELECT min(k) AS first_position, count(*)::INTEGER AS n_lines, string_agg(text, chr(10) ORDER BY k, line, part, text) AS text FROM entries GROUP BY entry""",
-)
-def multiline_assembly(spark, sf_dir):
-    """Order headers followed by their items, as one long file without any key."""
+def _order_lines(spark, sf_dir):
     heads = table(spark, sf_dir, "orders").select(
         F.col("o_orderkey").cast("bigint").alias("position"), F.lit(0).cast("bigint").alias("line"), F.lit(0).cast("bigint").alias("part"),
         F.concat(F.lit("ORDER "), F.col("o_orderkey").cast("string"), F.lit(" "), "o_orderstatus").alias("text"),
@@ -95,9 +89,21 @@ def multiline_assembly(spark, sf_dir):
             F.lit(" qty "), F.col("l_quantity").cast("int").cast("string"),
         ).alias("text"),
     )
+    return heads.unionByName(items)
+
+
+@query(
+    "multiline_assembly",
+    f"""WITH lines AS (SELECT CAST(o_orderkey AS BIGINT) AS k, 0 AS line, 0 AS part, 'ORDER ' || o_orderkey || ' ' || o_orderstatus AS text FROM orders
+              UNION ALL SELECT l_orderkey, l_linenumber, l_partkey, {_ITEM} FROM lineitem),
+            entries AS (SELECT *, sum(CASE WHEN starts_with(text, 'ORDER ') THEN 1 ELSE 0 END) OVER (ORDER BY k, line, part, text ROWS UNBOUNDED PRECEDING) AS entry FROM lines)
+       SELECT min(k) AS first_position, count(*)::INTEGER AS n_lines, string_agg(text, chr(10) ORDER BY k, line, part, text) AS text FROM entries GROUP BY entry""",
+)
+def multiline_assembly(spark, sf_dir):
+    """Order headers followed by their items, as one long file without any key."""
     # About a thousand orders per chunk.
     out = sq.assemble_lines(
-        heads.unionByName(items), [], "position", "text", F.col("text").startswith("ORDER "), width=1_000, tie=["line", "part"]
+        _order_lines(spark, sf_dir), [], "position", "text", F.col("text").startswith("ORDER "), width=1_000, tie=["line", "part"]
     )
     return out.select("first_position", "n_lines", "text")
 
@@ -227,6 +233,118 @@ def absence_within_stream(spark, sf_dir):
     return drain(spark, alone.select("event_id"), "absence")
 
 
+# -- streams with state of their own -------------------------------------------
+
+
+def _timed(spark, sf_dir, label):
+    """The events in four stretches of time, one per micro-batch."""
+    timed = events(spark, sf_dir).withColumn("time", F.col("ts").cast("timestamp"))
+    return replayed(timed.select("event_id", "user_id", "action", "value", "ts_us", "time"), "ts_us", label)
+
+
+_SYMBOLS = """SELECT event_id, user_id, substr(event_type, 1, 1) AS c0, lead(substr(event_type, 1, 1), 1) OVER w AS c1, lead(substr(event_type, 1, 1), 2) OVER w AS c2, lead(substr(event_type, 1, 1), 3) OVER w AS c3,
+  lead(event_id, 2) OVER w AS e2, lead(event_id, 3) OVER w AS e3 FROM passed WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)"""
+
+
+@query(
+    "match_sequence_stream",
+    f"""WITH {PASSED}, s AS ({_SYMBOLS})
+        SELECT user_id, event_id, CASE WHEN c2 = 'c' AND c3 = 'p' THEN e3 ELSE e2 END AS last_event_id, CAST(CASE WHEN c2 = 'c' AND c3 = 'p' THEN 4 ELSE 3 END AS INTEGER) AS match_length
+        FROM s WHERE c0 = 'v' AND c1 = 'c' AND (c2 = 'p' OR (c2 = 'c' AND c3 = 'p'))""",
+)
+def match_sequence_stream(spark, sf_dir):
+    """The row pattern of ``match_sequence`` on a stream of four micro-batches."""
+    stream = _timed(spark, sf_dir, "pattern-source")
+    found = st.match_rows_stream(stream, ["user_id"], "time", F.substring("action", 1, 1), "vc{1,2}p", 4, "event_id", ["event_id"])
+    return drain(spark, found.select("user_id", "event_id", "last_event_id", "match_length"), "pattern")
+
+
+@query(
+    "dedup_previous_stream",
+    f"""WITH {PASSED} SELECT event_id, user_id, event_type AS action FROM passed
+        QUALIFY coalesce(epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) > 86400000000, true)""",
+)
+def dedup_previous_stream(spark, sf_dir):
+    """The rule of ``dedup_stream``, which looks at the previous event, on a stream."""
+    stream = _timed(spark, sf_dir, "dedup-source")
+    kept = st.suppress_repeats_stream(stream, ["user_id", "action"], "time", 24 * HOUR, ["event_id"], ["event_id"])
+    return drain(spark, kept.select("event_id", "user_id", "action"), "dedup")
+
+
+@query(
+    "win_expiry_stream",
+    "SELECT event_id, ts + INTERVAL 10 DAY AS expires_at FROM events WHERE epoch_us(ts) + 864000000000 <= (SELECT max(epoch_us(ts)) // 1000 * 1000 FROM events)",
+)
+def win_expiry_stream(spark, sf_dir):
+    """Events on a stream, each once the clock has passed its ten days."""
+    stream = _timed(spark, sf_dir, "expiry-source").select("event_id", "time")
+    gone = drain(spark, st.expiries_stream(stream, "time", "10 days"), "expiry")
+    return gone.select("event_id", F.col("expires_at").cast("timestamp_ntz").alias("expires_at"))
+
+
+@query(
+    "output_every_stream",
+    """WITH e AS (SELECT *, epoch_us(ts) // 86400000000 AS d FROM events), z AS (SELECT max(epoch_us(ts)) // 1000 * 1000 // 86400000000 AS open_d FROM events),
+            l AS (SELECT event_type, d, max(event_id) AS event_id, min(event_id) AS first_id FROM e GROUP BY 1, 2), c AS (SELECT * FROM l WHERE d < (SELECT open_d FROM z)),
+            g AS (SELECT unnest(range((SELECT min(d) FROM e), (SELECT open_d FROM z))) AS d)
+       SELECT 'last' AS mode, event_type AS action, event_id, (d + 1) * 86400000000 AS output_us FROM c
+       UNION ALL SELECT 'first', event_type, first_id, (d + 1) * 86400000000 FROM c
+       UNION ALL SELECT 'all', event_type, event_id, (d + 1) * 86400000000 FROM e
+       UNION ALL SELECT 'snapshot', c.event_type, max(c.event_id), (g.d + 1) * 86400000000 FROM g JOIN c ON c.d <= g.d GROUP BY c.event_type, g.d""",
+)
+def output_every_stream(spark, sf_dir):
+    """Daily output of a stream in its four modes; a day is written once the clock has passed it."""
+    stream, out = _timed(spark, sf_dir, "output-source"), None
+    for mode in ("last", "first", "all", "snapshot"):
+        limited = st.output_every_stream(stream, ["action"], "time", 24 * HOUR, mode, ["event_id"], ["event_id"])
+        one = drain(spark, limited, f"output-{mode}").select(F.lit(mode).alias("mode"), "action", "event_id", "output_us")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query(
+    "multiline_assembly_stream",
+    f"""WITH lines AS (SELECT CAST(o_orderkey AS BIGINT) AS k, 0 AS line, 0 AS part, 'ORDER ' || o_orderkey || ' ' || o_orderstatus AS text FROM orders
+              UNION ALL SELECT l_orderkey, l_linenumber, l_partkey, {_ITEM} FROM lineitem),
+            entries AS (SELECT *, sum(CASE WHEN starts_with(text, 'ORDER ') THEN 1 ELSE 0 END) OVER (ORDER BY k, line, part, text ROWS UNBOUNDED PRECEDING) AS entry FROM lines)
+       SELECT min(k) AS first_position, count(*)::INTEGER AS n_lines, string_agg(text, chr(10) ORDER BY k, line, part, text) AS text FROM entries GROUP BY entry""",
+)
+def multiline_assembly_stream(spark, sf_dir):
+    """The long file of ``multiline_assembly`` in four micro-batches, whose borders fall into entries."""
+    place = (F.col("position") * 1000 + F.col("line")).alias("place")
+    stream = replayed(_order_lines(spark, sf_dir).select(place, "position", "line", "part", "text"), "place", "lines-source")
+    base = fresh_path(spark, "lines")
+    written = AssembleLines(
+        f"{base}/open", [], "place", "text", F.col("text").startswith("ORDER "),
+        lambda df, n: df.write.mode("overwrite").parquet(f"{base}/entries/batch={n}"), tie=["part"], width=1_000_000,
+    )
+    drain_batches(spark, stream, "lines-run", written)
+    written.flush(spark)
+    first = ((F.col("first_position") - F.pmod("first_position", F.lit(1000))) / 1000).cast("bigint").alias("first_position")
+    return spark.read.parquet(f"{base}/entries").select(first, "n_lines", "text")
+
+
+@query(
+    "snapshot_window_stream",
+    "SELECT user_id, arg_max(event_type, event_id) AS action, max(event_id) AS event_id FROM events GROUP BY user_id",
+)
+def snapshot_window_stream(spark, sf_dir):
+    """The last event of each user over a stream that is stopped half-way and begun anew.
+
+    The second run has a checkpoint of its own and starts from the snapshot of the whole
+    window that was saved when the first one stopped.
+    """
+    ev = events(spark, sf_dir).select("user_id", "action", "event_id")
+    half = ev.approxQuantile("event_id", [0.5], 0.01)[0] if ev.limit(1).count() else 0
+    base = fresh_path(spark, "window")
+    store = SnapshotStore(spark, f"{base}/snapshots")
+    for run, rows in enumerate((ev.filter(F.col("event_id") < half), ev.filter(F.col("event_id") >= half))):
+        window = NamedWindow(store, "latest", f"{base}/held-{run}", ev.schema, keep_latest(["user_id"], "event_id"))
+        stream = replayed(rows, "event_id", f"window-source-{run}", parts=2)
+        stop_window(run_window(stream, window, f"{base}/checkpoint-{run}", availableNow=True), window, finish=True)
+    return store.restore("latest", ev.schema)
+
+
 # -- expression families -------------------------------------------------------
 
 

@@ -16,6 +16,8 @@ _SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # A repeated JSON or url key keeps its last value.
     "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
+    # Streaming state outside the heap; operators with timers and lists in their state need it.
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }
 
 

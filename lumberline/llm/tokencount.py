@@ -131,8 +131,11 @@ class PrefixCounter:
         return out
 
     def chunk(self, chunk: bytes) -> int:
-        words = self.words
-        return sum([1 if isinstance(x, int) else words[x] for x in self.splitter.pretokens(chunk.decode())])
+        words, text = self.words, chunk.decode()
+        plain = self.splitter.normal(text)
+        if at := self.splitter.tail(plain):
+            return words[plain] if at == len(plain) else words[plain[:at]] + words[plain[at:]]
+        return sum([1 if isinstance(x, int) else words[x] for x in self.splitter.pretokens(text)])
 
     def table(self, text: str) -> list[int]:
         """Tokens of text[:i] for every i from 0 to its length."""

@@ -10,13 +10,14 @@ from __future__ import annotations
 import json
 from collections.abc import Callable
 from functools import lru_cache
+from string import punctuation as PUNCTUATION
 from unicodedata import is_normalized, normalize
 
 import regex
 from tokenizers import Tokenizer
 
-# Chunks remembered by one Python worker; beyond that it starts afresh (bounded memory).
-MEMO_SIZE = 200_000
+# Chunks remembered by one Python worker in each of two generations (bounded memory).
+MEMO_SIZE = 400_000
 
 
 def vocabulary_text(path: str) -> str:
@@ -50,7 +51,13 @@ class Splitter:
             return text.lower()
         if not is_normalized("NFC", text):
             text = normalize("NFC", text)
-        return "".join(map(str.lower, text))  # letter by letter: no final-sigma rule
+        return text.lower() if "Σ" not in text else "".join(map(str.lower, text))  # no final-sigma rule
+
+    @staticmethod
+    def tail(plain: str) -> int:
+        """Where the punctuation behind a normal chunk's letters begins; 0 if it is not letters and punctuation."""
+        body = plain.rstrip(PUNCTUATION)
+        return len(body) if body.isalpha() else 0
 
     def pretokens(self, chunk: str) -> list[str | int]:
         if self.at_special is None or "<" not in chunk:
@@ -72,17 +79,24 @@ def as_byte_letters(pretoken: str) -> str:
 
 
 class Memo(dict):
-    """What a function gave for each chunk (bytes) so far; emptied when full."""
+    """What a function gave for each chunk so far.
 
-    def __init__(self, of: Callable[[bytes], object], size: int = MEMO_SIZE):
+    When this generation is full it becomes the older one, and what was the older one is
+    forgotten; a chunk met again comes back from the older one. So frequent chunks stay.
+    """
+
+    def __init__(self, of: Callable, size: int = MEMO_SIZE):
         super().__init__()
-        self.of, self.size = of, size
+        self.of, self.size, self.older = of, size, {}
 
-    def __missing__(self, chunk: bytes):
-        if len(self) >= self.size:
-            self.clear()
-        value = self.of(chunk)
+    def __missing__(self, chunk):
+        value = self.older.get(chunk)
+        if value is None:
+            value = self.of(chunk)
         if len(chunk) <= 64:
+            if len(self) >= self.size:
+                self.older = dict(self)
+                self.clear()
             self[chunk] = value
         return value
 
@@ -93,12 +107,21 @@ def id_bytes(vocabulary: str) -> Memo:
     split = Splitter(vocabulary)
     tokenize = Tokenizer.from_str(vocabulary).model.tokenize
 
+    def word(pretoken: str) -> bytes:
+        return b"".join([t.id.to_bytes(4, "little") for t in tokenize(as_byte_letters(pretoken))])
+
     def of(chunk: bytes) -> bytes:
+        text = chunk.decode()
+        plain = split.normal(text)
+        at = split.tail(plain)
+        if at == len(plain):
+            return word(plain) if plain == text else memo[plain.encode()]
+        if at:
+            return memo[plain[:at].encode()] + memo[plain[at:].encode()]
         out = b""
-        for x in split.pretokens(chunk.decode()):
-            out += x.to_bytes(4, "little") if isinstance(x, int) else b"".join(
-                [t.id.to_bytes(4, "little") for t in tokenize(as_byte_letters(x))]
-            )
+        for x in split.pretokens(text):
+            out += x.to_bytes(4, "little") if isinstance(x, int) else memo[x.encode()] if x.isalpha() else word(x)
         return out
 
-    return Memo(of)
+    memo = Memo(of)
+    return memo

@@ -22,12 +22,13 @@ _WORD_BASE = 0xD1342543DE82EF95 | 1
 
 
 def byte_table(separators: bytes, lower: bool) -> np.ndarray:
-    """What each byte becomes: 0 for a separator, else itself, A-Z in lower case if asked."""
-    out = np.arange(256, dtype=np.uint8)
+    """What each byte becomes: 0 for a separator, else itself (256 for a NUL), A-Z in lower case if asked."""
+    out = np.arange(256, dtype=np.uint16)
+    out[0] = 256
     if lower:
         out[ord("A") : ord("Z") + 1] += 32
     out[np.frombuffer(separators, np.uint8)] = 0
-    return out
+    return out if out[0] else out.astype(np.uint8)
 
 
 # The separators of the two word rules.

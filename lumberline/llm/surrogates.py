@@ -15,13 +15,18 @@ from pyspark.sql import functions as F
 from lumberline.llm.store import stored
 
 # What is looked for, in this order at equal places.
-_EMAIL = r"[\p{L}\p{N}._%+-]+@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)*\.\p{L}{2,}"
+# An address begins where its run of letters does, or where the match before it ended; no group is
+# repeated, so that long runs and long domains take linear time and no depth of the stack.
+_EMAIL = r"(?:(?<![\p{L}\p{N}._%+-])|\G)[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-][\p{L}\p{N}.-]*\.\p{L}{2,}"
 _ADDRESS = r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\.?\d)"
 _CARD = r"(?<!\d)\d{4}(?:([ -]?)\d{4}){3}(?!\d)"
 _PHONE = r"(?<![\d+])\+\d{1,3}[ .-]?\(?\d{2,4}\)?(?:[ .-]?\d{2,4}){2,4}(?!\d)|(?<!\d)\(\d{3}\) ?\d{3}-\d{4}(?!\d)"
 MALE = ("Mr", "Herr", "Monsieur", "Sr", "Señor")
 FEMALE = ("Mrs", "Ms", "Miss", "Frau", "Mme", "Madame", "Sra", "Señora")
-_NAME = rf"(?<!\p{{L}})(?:{'|'.join(MALE + FEMALE)})\.? \p{{Lu}}\p{{L}}+(?: \p{{Lu}}\p{{L}}+)?"
+_WORD = r"\p{Lu}[\p{L}'’-]*\p{L}"  # with O'Neil and Anna-Maria
+_NAME = rf"(?<!\p{{L}})(?:{'|'.join(MALE + FEMALE)})\.? {_WORD}(?: {_WORD})?"
+# Country codes of one and two digits; the others have three.
+_CODE = r"^\+(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
 MENTION = f"{_EMAIL}|{_ADDRESS}|{_CARD}|{_PHONE}|{_NAME}"
 # Syllables of made-up names by script, and their endings by gender (m, f, none).
 SYLLABLES = {
@@ -53,7 +58,7 @@ def parts_of(mention: Column) -> Column:
     given = part(F.concat(F.lit("given_"), gender), F.lower(words[1]))
     family = F.array(part("family", F.lower(F.element_at(words, -1))))
     names = F.when(F.size(words) > 2, F.concat(F.array(given), family)).otherwise(family)
-    number = F.array(part(kind, F.when(kind == "email", F.lower(mention)).when(kind == "address", mention).otherwise(_digits(mention))))
+    number = F.array(part(kind, F.when(kind == "email", F.lower(mention)).when(kind == "address", mention).otherwise(F.concat(F.regexp_extract(mention, r"^\+?", 0), _digits(mention)))))
     return F.when(kind == "name", names).otherwise(number)
 
 
@@ -90,7 +95,9 @@ def _drawn(key: str, attempt: int) -> Column:
     email = F.concat(_filled(local, digits), F.lit("@"), _filled(F.substring(domain, F.lit(1), F.length(domain) - F.length(top) - 1), F.reverse(digits)), F.lit("."), top)
     octets = F.concat_ws(".", *[(_at(digits, 4 * i, 4).cast("int") % 254 + 1).cast("string") for i in range(4)])
     number = _filled(form, digits)
-    phone = F.concat(F.substring(form, 1, 1), F.substring(number, F.lit(2), F.length(number)))  # the country stays
+    # The country stays; of a number without one, the first digit.
+    country = F.regexp_extract(form, rf"{_CODE}|^\d", 0)
+    phone = F.concat(country, F.substring(number, F.length(country) + 1, F.length(number)))
     # A card number that passes the check-digit test keeps passing it.
     card = F.concat(F.substring(number, 1, 15), _check_digit(F.substring(number, 1, 15)))
     card = F.when(F.substring(form, -1, 1) == _check_digit(F.substring(form, 1, 15)), card).otherwise(number)
@@ -138,7 +145,7 @@ def assign_surrogates(entities: DataFrame, key: str, rounds: int = 40) -> DataFr
 
 def _formatted(mention: Column, surrogates: Column) -> Column:
     """A mention written with the surrogates of its parts, in its own format."""
-    kind, first = _kind(mention), surrogates[0]
+    kind, first = _kind(mention), F.ltrim(surrogates[0], F.lit("+"))
     start = F.struct(F.lit(0).alias("i"), F.lit("").alias("out"))
 
     def put(acc: Column, c: Column) -> Column:

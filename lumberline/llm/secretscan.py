@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 from itertools import product
 from re import _constants as op
@@ -19,7 +20,11 @@ from re import _parser
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lumberline.functions.binding import let
+from lumberline.llm.store import unused
+
 MOST_STRINGS = 32
+TEXT_BLOCK = 8192  # code points
 
 
 @dataclass(frozen=True)
@@ -148,35 +153,62 @@ def _found(text: Column, number: int, rule: Rule) -> Column:
     whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     secret = F.regexp_extract_all(text, F.lit(pattern), F.lit(rule.secret)) if rule.secret else whole
     between = F.split(text, pattern, -1)
-    parts = F.arrays_zip(between.alias("between"), whole.alias("whole"), secret.alias("secret"))
-    start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start:int,number:int,end:int>>)").alias("out"))
+    lengths = F.zip_with(between, whole, lambda a, b: F.length(a) + F.coalesce(F.length(b), F.lit(0)))
 
-    def step(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + F.length(x["between"])
-        end = begin + F.coalesce(F.length(x["whole"]), F.lit(0))
+    def span(begin: Column, x: Column) -> Column:
+        start = begin + F.length(x["between"])
+        end = start + F.length(x["whole"])
         good = x["whole"].isNotNull() & (F.length(x["secret"]) >= rule.least)
-        span = F.struct(begin.alias("start"), F.lit(number).alias("number"), end.alias("end"))
-        return F.struct(end.alias("at"), F.when(good, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
+        return F.when(good, F.struct(start.alias("start"), F.lit(number).alias("number"), end.alias("end")))
+
+    parts = F.arrays_zip(between.alias("between"), whole.alias("whole"), secret.alias("secret"))
+    return F.when(text.rlike(pattern), F.array_compact(F.zip_with(earlier(lengths, lambda a, b: a + b), parts, span)))
+
+
+def earlier(values: Column, combine: Callable[[Column, Column], Column], block: int = 512) -> Column:
+    """For each of some whole numbers, ``combine`` (a sum, a maximum) of 0 and those before it.
+
+    An array that grows in a fold is copied at each step; here that happens in blocks
+    only, which are then shifted by what is before them.
+    """
+    zero = F.struct(F.lit(0).alias("last"), F.expr("cast(array() as array<int>)").alias("out"))
+
+    def fold(parts: Column, number: Callable[[Column], Column]) -> Column:
+        def step(acc: Column, x: Column) -> Column:
+            return F.struct(combine(acc["last"], number(x)).alias("last"), F.concat(acc["out"], F.array(acc["last"])).alias("out"))
+
+        return F.aggregate(parts, zero, step)
+
+    def shifted(local: Column) -> Column:
+        bases = fold(local, lambda x: x["last"])["out"]
+        return F.flatten(F.zip_with(local, bases, lambda x, base: F.transform(x["out"], lambda v: combine(base, v))))
+
+    def of(values: Column) -> Column:
+        numbers = F.sequence(F.lit(0), F.greatest(F.floor((F.size(values) - 1) / block), F.lit(0)).cast("int"))
+        blocks = F.transform(numbers, lambda b: F.slice(values, b * block + 1, F.lit(block)))
+        return let(F.transform(blocks, lambda x: fold(x, lambda v: v)), shifted)
 
-    return F.when(text.rlike(pattern), F.aggregate(parts, start, step)["out"])
+    return let(values, of)
 
 
-def secret_spans(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """Adds ``secrets``: array of (start, number of the rule, end) in code points, in that order.
+def secret_spans(docs: DataFrame, rules: tuple[Rule, ...] = RULES, name: str = "secrets") -> DataFrame:
+    """Adds ``name``: array of (start, number of the rule, end) in code points, in that order.
 
-    Keeps all columns; a NULL or empty text has none. Rows with a NULL id are searched by
-    all rules; rows that share an id share their candidate rules.
+    Keeps all other columns; a NULL or empty text has none. Rows with a NULL id are
+    searched by all rules; rows that share an id share their candidate rules.
     """
-    mine = docs.withColumn("_text", F.coalesce(F.col("text").cast("string"), F.lit("")))
-    index = candidates(mine.select(F.col("doc_id").alias("doc_id"), F.col("_text").alias("text")), rules)
-    index = index.withColumnsRenamed({"doc_id": "_id", "rules": "_rules"})
-    found = mine.join(index, F.col("doc_id") == F.col("_id"), "left")
+    docs = docs.drop(name)
+    text, of, rules_of = (unused(docs, x) for x in ("text_", "of_id", "of_rules"))
+    mine = docs.withColumn(text, F.coalesce(F.col("text").cast("string"), F.lit("")))
+    index = candidates(mine.select(F.col("doc_id").alias("doc_id"), F.col(text).alias("text")), rules)
+    index = index.withColumnsRenamed({"doc_id": of, "rules": rules_of})
+    found = mine.join(index, mine["doc_id"] == index[of], "left")
     none = F.expr("cast(array() as array<struct<start:int,number:int,end:int>>)")
     spans = []
     for number, rule in enumerate(rules):
-        asked = F.coalesce(F.array_contains("_rules", number), F.col("doc_id").isNull()) if trigram_query(rule.pattern) else F.lit(True)
-        spans.append(F.coalesce(F.when(asked, _found(F.col("_text"), number, rule)), none))
-    return found.withColumn("secrets", F.array_sort(F.concat(*spans))).drop("_text", "_id", "_rules")
+        asked = F.coalesce(F.array_contains(rules_of, number), F.col("doc_id").isNull()) if trigram_query(rule.pattern) else F.lit(True)
+        spans.append(F.coalesce(F.when(asked, _found(F.col(text), number, rule)), none))
+    return found.withColumn(name, F.array_sort(F.concat(*spans))).drop(text, of, rules_of)
 
 
 def _listed(spans: Column, rules: tuple[Rule, ...]) -> Column:
@@ -198,16 +230,26 @@ def secret_report(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame
 
 def redacted(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mask: str = "[SECRET]") -> DataFrame:
     """The documents with each secret span (overlapping ones together) replaced by ``mask``; all columns stay."""
-    found = secret_spans(docs, rules)
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(acc: Column, s: Column) -> Column:
-        gap = F.substring(F.col("text"), acc["at"] + 1, s["start"] - acc["at"])
-        fresh = s["start"] >= acc["at"]
-        out = F.when(fresh, F.concat(acc["out"], gap, F.lit(mask))).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), out.alias("out"))
-
-    done = F.aggregate("secrets", start, step)
-    rest = F.substring(F.col("text"), done["at"] + 1, F.length("text"))
-    text = F.when(F.size("secrets") > 0, F.concat(done["out"], rest)).otherwise(F.col("text"))
-    return found.withColumn("text", text).drop("secrets")
+    name = unused(docs, "secrets")
+    found = secret_spans(docs, rules, name)
+    text, spans = F.col("text").cast("string"), F.col(name)
+    blocks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{TEXT_BLOCK}}}"), F.lit(0))
+
+    def masked(blocks: Column) -> Column:
+        def part(begin: Column, end: Column) -> Column:
+            """The text from ``begin`` to ``end``; a place is sought in its block only."""
+            first, last = F.floor(begin / TEXT_BLOCK).cast("int"), F.floor(end / TEXT_BLOCK).cast("int")
+            inside = F.substring(F.get(blocks, first), begin % TEXT_BLOCK + 1, end - begin)
+            middle = F.array_join(F.slice(blocks, first + 2, F.greatest(last - first - 1, F.lit(0))), "")
+            tail = F.coalesce(F.substring(F.get(blocks, last), F.lit(1), end % TEXT_BLOCK), F.lit(""))
+            across = F.concat(F.substring(F.get(blocks, first), begin % TEXT_BLOCK + 1, F.lit(TEXT_BLOCK)), middle, tail)
+            return F.coalesce(F.when(end > begin, F.when(first == last, inside).otherwise(across)), F.lit(""))
+
+        def write(done: Column, s: Column) -> Column:
+            return F.when(s["start"] >= done, F.concat(part(done, s["start"]), F.lit(mask)))  # else inside an earlier mask
+
+        reached = earlier(F.transform(spans, lambda s: s["end"]), F.greatest)
+        rest = part(F.array_max(F.transform(spans, lambda s: s["end"])), F.length(text))
+        return F.array_join(F.concat(F.zip_with(reached, spans, write), F.array(rest)), "")
+
+    return found.withColumn("text", F.when(F.size(spans) > 0, let(blocks, masked)).otherwise(text)).drop(name).select(*docs.columns)

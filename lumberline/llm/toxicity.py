@@ -116,12 +116,12 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     return dict(map(tuple, model.collect()))  # at most 2**20 + 1 weights
 
 
-def scored(docs: DataFrame, weights: dict[int, float]) -> DataFrame:
-    """Adds ``score`` (0 to 1) from ``text``; NULL and empty texts have the score of no feature.
+def scored(docs: DataFrame, weights: dict[int, float], name: str = "score") -> DataFrame:
+    """Adds ``name`` (0 to 1) from ``text``; NULL and empty texts have the score of no feature.
 
-    All columns and rows stay; a column called score is replaced.
+    All columns and rows stay; a column called ``name`` is replaced.
     """
-    docs = docs.drop("score")
+    docs = docs.drop(name)
     at = docs.columns.index("text")
     places = np.array(sorted(weights), np.int64)
     sent = docs.sparkSession.sparkContext.broadcast((places, np.array([weights[p] for p in places.tolist()])))
@@ -136,9 +136,9 @@ def scored(docs: DataFrame, weights: dict[int, float]) -> DataFrame:
                 row, place = _distinct(row[known], place[known])
                 total = np.bincount(row, dense[place], minlength=len(block.rows)) + dense[BIAS]
                 out.append(1 / (1 + np.exp(-np.clip(total, -35, 35))))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(out))], [*batch.schema.names, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(out))], [*batch.schema.names, name])
 
-    return docs.mapInArrow(lean(run), StructType([*docs.schema.fields]).add("score", DoubleType()))
+    return docs.mapInArrow(lean(run), StructType([*docs.schema.fields]).add(name, DoubleType()))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:

@@ -12,19 +12,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumberline.llm import fmindex, neardup, packing, secretscan, toxicity
-from lumberline.llm.store import importable, stored
+from lumberline.llm.store import importable, stored, unused
 
 
 def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
     """The rows whose id was not rejected; rows with a NULL id stay."""
-    gone = rejected.select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    name = unused(docs, "gone")
+    gone = rejected.select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(gone, docs["doc_id"] == gone[name], "left_anti")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    columns = docs.columns
+    columns, score = docs.columns, unused(docs, "score")
     weights = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.scored(docs, weights).filter("score < 0.5").select(*columns)
+    return toxicity.scored(docs, weights, score).filter(F.col(score) < 0.5).select(*columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -78,6 +78,55 @@ def ip6_hex(ip: Column) -> Column:
     return F.when(ip.contains(":"), built)
 
 
+def ip6_text(digits: Column) -> Column:
+    """32 hex digits -> IPv6 text in its shortest usual form (the longest run of zero groups left out)."""
+    groups = F.transform(
+        F.sequence(F.lit(0), F.lit(7)), lambda i: F.regexp_replace(F.substring(digits, i * 4 + 1, F.lit(4)), r"\A0{1,3}", "")
+    )
+
+    def shortened(text: Column) -> Column:
+        out = text
+        for zeros in range(2, 9):  # the last match, so the longest run, counts
+            pattern = rf"\A(|.*?:)0(?::0){{{zeros - 1}}}(:.*|)\z"
+            head, tail = F.regexp_extract(text, pattern, 1), F.regexp_extract(text, pattern, 2)
+            short = F.concat(F.when(head == "", ":").otherwise(head), F.when(tail == "", ":").otherwise(tail))
+            out = F.when(text.rlike(pattern), short).otherwise(out)
+        return out
+
+    return let(F.array_join(groups, ":"), shortened)
+
+
+def address_key(ip: Column) -> Column:
+    """An address of either family as text whose order is address order: ``4`` and 8 or ``6`` and 32 hex digits."""
+    four = F.concat(F.lit("4"), F.lpad(F.lower(F.hex(ip4_number(ip))), 8, "0"))
+    return F.when(ip.contains(":"), F.concat(F.lit("6"), ip6_hex(ip))).otherwise(four)
+
+
+def masked_key(key: Column, length: Column, fill: str) -> Column:
+    """An address key with all bits behind the first ``length`` set to 0 or 1 (``fill`` is ``0`` or ``f``)."""
+    whole, rest = F.shiftright(length, 2), length.bitwiseAND(F.lit(3))
+    digit = F.conv(F.substr(key, whole + 2, F.lit(1)), 16, 10).cast("int")
+    free = F.call_function("shiftright", F.lit(15), rest)
+    cut = digit - digit.bitwiseAND(free) if fill == "0" else digit.bitwiseOR(free)
+    last = F.when(rest > 0, F.lower(F.hex(cut))).otherwise(F.lit(""))
+    head = F.concat(F.substr(key, F.lit(1), whole + 1), last)
+    return F.when(key.startswith("4"), F.rpad(head, 9, fill)).otherwise(F.rpad(head, 33, fill))
+
+
+def network_keys(network: Column) -> Column:
+    """CIDR text of either family -> struct(lo, hi, len) of address keys; a lone address is its own network, else NULL."""
+    base = address_key(F.substring_index(network, "/", 1))
+    given = F.substring_index(network, "/", -1).try_cast("int")
+
+    def of(base: Column) -> Column:
+        most = F.when(base.startswith("4"), 32).otherwise(128)
+        length = F.when(network.contains("/"), given).otherwise(most)
+        bounds = F.struct(masked_key(base, length, "0").alias("lo"), masked_key(base, length, "f").alias("hi"), length.alias("len"))
+        return F.when(base.isNotNull() & length.between(0, most), bounds)
+
+    return let(base, of)
+
+
 def network_bounds(network: str) -> tuple[int, int, int, int]:
     """(version, lowest, highest, prefix length) of a CIDR literal, on the driver."""
     net = ipaddress.ip_network(network, strict=False)
@@ -108,8 +157,8 @@ def _within(ranges: list[tuple[Column, Column]]) -> Callable[[Column], Column]:
 
 
 def ipin_column(ip: Column, network: Column) -> Column:
-    """``ipin`` for IPv4 with the network given as a column."""
-    within = let(netrange(network), lambda r: ip4_number(ip).between(r["lo_num"], r["hi_num"]))
+    """``ipin`` for both families with the network given as a column."""
+    within = let(network_keys(network), lambda r: address_key(ip).between(r["lo"], r["hi"]))
     return F.coalesce(within, F.lit(False))
 
 
@@ -127,20 +176,22 @@ isremoteip = notprivateip
 
 
 def netrange(network: Column) -> Column:
-    """IPv4 CIDR text -> struct(lo, hi, lo_num, hi_num); NULL when it is not one."""
-    length = F.when(network.contains("/"), F.substring_index(network, "/", -1).try_cast("int")).otherwise(F.lit(32))
+    """CIDR text of either family -> struct(lo, hi, lo_num, hi_num, lo_key, hi_key); NULL when it is not one.
 
-    def ranged(p: Column) -> Column:
-        lo = p["base"] - F.pmod(p["base"], p["size"])
-        return F.struct(lo.alias("lo"), (lo + p["size"] - 1).alias("hi"))
+    The numbers are for IPv4 only, as those of IPv6 do not fit 64 bits; the keys
+    (:func:`address_key`) are for both.
+    """
+
+    def text(key: Column) -> Column:
+        return F.when(key.startswith("4"), ip4_text(number(key))).otherwise(ip6_text(F.substring(key, 2, 32)))
+
+    def number(key: Column) -> Column:
+        return F.when(key.startswith("4"), F.conv(F.substring(key, 2, 8), 16, 10).cast("bigint"))
 
     def shown(r: Column) -> Column:
         return F.struct(
-            ip4_text(r["lo"]).alias("lo"), ip4_text(r["hi"]).alias("hi"), r["lo"].alias("lo_num"), r["hi"].alias("hi_num")
-        )
+            text(r["lo"]).alias("lo"), text(r["hi"]).alias("hi"), number(r["lo"]).alias("lo_num"), number(r["hi"]).alias("hi_num"),
+            r["lo"].alias("lo_key"), r["hi"].alias("hi_key"),
+        )
 
-    base = ip4_number(F.substring_index(network, "/", 1))
-    size = F.pow(F.lit(2.0), F.lit(32) - length).cast("bigint")
-    parts = F.struct(base.alias("base"), F.when(length.between(0, 32), size).alias("size"))
-    found = let(let(parts, ranged), lambda r: F.when(r["lo"].isNotNull(), shown(r)))
-    return found
+    return let(network_keys(network), lambda r: F.when(r.isNotNull(), shown(r)))

@@ -10,10 +10,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumberline.functions.net import ip4_number, ip6_hex
+from lumberline.functions.net import address_key, masked_key, network_keys
+from lumberline.session import fresh_path
 
 Keys = Sequence[tuple[str, str]]
 
@@ -51,113 +52,98 @@ def not_listed(events: DataFrame, listed: DataFrame, on: Keys) -> DataFrame:
     return events.join(renamed, _condition(on), "left_anti")
 
 
-_PREFIX_BITS = 16
+BLOCK_POINTS = 1024
+MOST_BLOCKS = 4096
 
 
-def network_index(networks: DataFrame, columns: Sequence[str], network: str = "network") -> DataFrame:
-    """(bucket, candidates): the IPv4 networks that touch each /16, longest prefix first.
+def disjoint_ranges(networks: DataFrame, columns: Sequence[str], network: str = "network") -> tuple[DataFrame, int]:
+    """``point, owner`` (and the most rows there can be): from each point up to the next one, addresses belong to ``owner``'s network (or to none).
 
-    One row per bucket, so looking an address up cannot multiply rows. A bucket
-    holds at most the distinct networks inside one /16.
+    Networks (of both families, nested as they like) are swept into disjoint ranges. A
+    range begins where a network does, and belongs to the longest that begins there; or
+    behind a network's last address (the key of that address and ``~``, which sorts
+    between it and the next), and belongs to the longest of those around it. These are
+    found by equality of masked keys, one for each prefix length in the table. Networks
+    that are equal are settled by the least values; those that cannot be read are left out.
     """
-    base = ip4_number(F.substring_index(F.col(network), "/", 1))
-    length = F.substring_index(F.col(network), "/", -1).try_cast("int")
-    size = F.pow(F.lit(2.0), F.lit(32) - F.col("__len")).cast("bigint")
-    ranged = (
-        networks.withColumns({"__base": base, "__len": length})
-        .filter(F.col("__base").isNotNull() & F.col("__len").between(0, 32))
-        .withColumn("__lo", F.col("__base") - F.pmod(F.col("__base"), size))
-        .withColumn("__hi", F.col("__lo") + size - 1)
-        .groupBy("__lo", "__hi", "__len")
-        .agg(F.min(F.struct(*columns)).alias("__info"))
-        .select("__lo", "__hi", "__len", "__info.*")
-    )
-    buckets = F.sequence(F.shiftright("__lo", _PREFIX_BITS), F.shiftright("__hi", _PREFIX_BITS))
-    entry = F.struct((-F.col("__len")).alias("rank"), F.col("__lo").alias("lo"), F.col("__hi").alias("hi"), *columns)
-    return (
-        ranged.withColumn("__bucket", F.explode(buckets))
-        .groupBy("__bucket")
-        .agg(F.array_sort(F.collect_list(entry)).alias("__candidates"))
+    keys = networks.select(network_keys(F.col(network)).alias("__net"), F.struct(*columns).alias("__info")).filter("__net is not null")
+    nets = keys.groupBy("__net").agg(F.min("__info").alias("__info")).select("__net.lo", "__net.hi", "__net.len", "__info")
+    begins = nets.groupBy("lo").agg(F.max_by("__info", "len").alias("owner")).select(F.col("lo").alias("point"), "owner")
+    number, lengths = nets.agg(F.count(F.lit(1)), F.collect_set("len")).first()  # at most 129 lengths
+    ends = nets.groupBy("hi").agg(F.min("len").alias("__least"))
+    around = ends.withColumn("__len", F.explode(F.array(*map(F.lit, sorted(lengths))).cast("array<int>"))).filter("__len < __least")
+    around = around.withColumn("__lo", masked_key(F.col("hi"), F.col("__len"), "0")).join(
+        nets.select(F.col("lo").alias("__lo"), F.col("len").alias("__len"), "__info"), ["__lo", "__len"]
     )
+    owners = around.groupBy(F.col("hi").alias("__hi")).agg(F.max_by("__info", "__len").alias("owner"))
+    behind = ends.join(owners, F.col("hi") == F.col("__hi"), "left")
+    return begins.unionByName(behind.select(F.concat("hi", F.lit("~")).alias("point"), "owner")), 2 * number
+
+
+def _last_at_most(sorted_values: Column, value: Column) -> Column:
+    """Place (from 0) of the last of some sorted values that is at most ``value``; -1 if none is. A binary search."""
+    start = F.struct(F.lit(0).alias("low"), F.size(sorted_values).alias("high"))  # the answer + 1 is in low..high
+    steps = F.sequence(F.lit(0), F.ceil(F.log2(F.size(sorted_values) + 1)).cast("int"))
+
+    def halve(acc: Column, _: Column) -> Column:
+        middle = F.shiftright(acc["low"] + acc["high"] + 1, 1)
+        fits = F.get(sorted_values, middle - 1) <= value
+        halved = F.struct(
+            F.when(fits, middle).otherwise(acc["low"]).alias("low"), F.when(fits, acc["high"]).otherwise(middle - 1).alias("high")
+        )
+        return F.when(acc["low"] < acc["high"], halved).otherwise(acc)
+
+    return F.aggregate(steps, start, halve)["low"] - 1
+
+
+def range_blocks(ranges: DataFrame, most: int) -> tuple[DataFrame, list[str]]:
+    """``__block, __points, __owners``: the ranges in blocks of about equal size, in order; and each block's first point.
+
+    ``most`` bounds the number of ranges. There are at most ``MOST_BLOCKS`` blocks, so that
+    many texts come to the driver.
+    """
+    blocks = min(MOST_BLOCKS, -(-most // BLOCK_POINTS))
+    if blocks > 1:
+        path = fresh_path(ranges.sparkSession, "ranges")
+        dealt = ranges.repartitionByRange(blocks, "point").withColumn("__block", F.spark_partition_id())
+        dealt.write.parquet(path)
+        ranges = ranges.sparkSession.read.schema(dealt.schema).parquet(path)
+        firsts = ranges.groupBy("__block").agg(F.min("point").alias("first")).orderBy("first").collect()
+        number = F.element_at(F.create_map(*[F.lit(x) for i, r in enumerate(firsts) for x in (r["__block"], i)]), F.col("__block"))
+        ranges, points = ranges.withColumn("__block", number), [r["first"] for r in firsts]
+    else:
+        ranges, points = ranges.withColumn("__block", F.lit(0)), [""]
+    listed = ranges.groupBy("__block").agg(F.array_sort(F.collect_list(F.struct("point", "owner"))).alias("__ranges"))
+    return listed.select(
+        "__block", F.transform("__ranges", lambda r: r["point"]).alias("__points"), F.transform("__ranges", lambda r: r["owner"]).alias("__owners")
+    ), points
 
 
 def cidr_join(
     events: DataFrame, ip: str, networks: DataFrame, columns: Sequence[str], network: str = "network"
 ) -> DataFrame:
-    """Columns of the longest matching network for each address (NULLs on a miss).
+    """Columns of the longest matching network for each address, IPv4 or IPv6 (NULLs on a miss).
 
-    A range join turned into one equality join on the upper 16 address bits; the
-    event side is neither multiplied nor regrouped afterwards.
+    The networks become disjoint ranges, dealt into blocks by range. An address finds its
+    block by binary search over the blocks' first points, meets it in one equality join,
+    and finds its range in it by binary search. The event side is neither multiplied nor
+    regrouped, and no block grows with how nested or bunched the networks are.
     """
-    index = network_index(networks, columns, network)
-    probed = events.withColumn("__ip", ip4_number(F.col(ip)))
+    blocks, points = range_blocks(*disjoint_ranges(networks, columns, network))
+    probed = events.withColumn("__ip", address_key(F.col(ip)))
+    if len(points) > 1:
+        block = _last_at_most(F.array(*map(F.lit, points)), F.col("__ip"))
+    else:
+        block = F.lit(0)
     # Rows without an address match nothing; spread them instead of meeting in one task.
-    nowhere = -1 - F.spark_partition_id().cast("bigint")
-    probed = probed.withColumn("__ip_bucket", F.coalesce(F.shiftright("__ip", _PREFIX_BITS), nowhere))
-    joined = probed.join(index, F.col("__ip_bucket") == F.col("__bucket"), "left")
-    inside = F.filter("__candidates", lambda c: F.col("__ip").between(c["lo"], c["hi"]))
-    best = joined.withColumn("__best", F.get(inside, F.lit(0)))
+    nowhere = -2 - F.spark_partition_id()
+    probed = probed.withColumn("__at", F.when(F.col("__ip").isNotNull(), block).otherwise(nowhere))
+    joined = probed.join(blocks, F.col("__at") == F.col("__block"), "left")
+    best = joined.withColumn("__best", F.get("__owners", _last_at_most(F.col("__points"), F.col("__ip"))))
     return best.select(*events.columns, *[F.col(f"__best.{c}").alias(c) for c in columns])
 
 
-_WIDE_LENGTH = 20
-
-
-def network_index6(networks: DataFrame, columns: Sequence[str], network: str = "network") -> tuple[DataFrame, DataFrame]:
-    """Two indexes of the IPv6 networks: by /32 bucket, and by /4 for the few very wide ones."""
-    length = F.substring_index(F.col(network), "/", -1).try_cast("int")
-    parsed = networks.withColumns({"__base": ip6_hex(F.substring_index(F.col(network), "/", 1)), "__len": length})
-    parsed = parsed.filter(F.col("__base").isNotNull() & F.col("__len").between(0, 128))
-    whole, rest = F.shiftright("__len", 2), F.col("__len").bitwiseAND(F.lit(3))
-    head = F.substr("__base", F.lit(1), whole)
-    digit = F.conv(F.substr("__base", whole + 1, F.lit(1)), 16, 10).cast("int")
-    free = F.call_function("shiftright", F.lit(15), rest)
-    low_digit = F.when(rest > 0, F.lower(F.hex(digit - digit.bitwiseAND(free)))).otherwise(F.lit(""))
-    high_digit = F.when(rest > 0, F.lower(F.hex(digit.bitwiseOR(free)))).otherwise(F.lit(""))
-    ranged = (
-        parsed.withColumns(
-            {
-                "__lo": F.rpad(F.concat(head, low_digit), 32, "0"),
-                "__hi": F.rpad(F.concat(head, high_digit), 32, "f"),
-            }
-        )
-        .groupBy("__lo", "__hi", "__len")
-        .agg(F.min(F.struct(*columns)).alias("__info"))
-        .select("__lo", "__hi", "__len", "__info.*")
-    )
-    entry = F.struct((-F.col("__len")).alias("rank"), F.col("__lo").alias("lo"), F.col("__hi").alias("hi"), *columns)
-
-    def index(part: DataFrame, digits: int, label: str) -> DataFrame:
-        first, last = (F.conv(F.substring(c, 1, digits), 16, 10).cast("bigint") for c in ("__lo", "__hi"))
-        return (
-            part.withColumn(f"__bucket_{label}", F.explode(F.sequence(first, last)))
-            .groupBy(f"__bucket_{label}")
-            .agg(F.array_sort(F.collect_list(entry)).alias(f"__candidates_{label}"))
-        )
-
-    wide = F.col("__len") < _WIDE_LENGTH
-    return index(ranged.filter(~wide), 8, "narrow"), index(ranged.filter(wide), 1, "wide")
-
-
-def cidr_join6(
-    events: DataFrame, ip: str, networks: DataFrame, columns: Sequence[str], network: str = "network"
-) -> DataFrame:
-    """:func:`cidr_join` for IPv6 addresses and networks."""
-    narrow, wide = network_index6(networks, columns, network)
-    nowhere = -1 - F.spark_partition_id().cast("bigint")
-    probed = events.withColumn("__ip", ip6_hex(F.col(ip)))
-    for digits, label in ((8, "narrow"), (1, "wide")):
-        bucket = F.conv(F.substring("__ip", 1, digits), 16, 10).cast("bigint")
-        probed = probed.withColumn(f"__ip_{label}", F.coalesce(bucket, nowhere))
-    joined = probed.join(narrow, F.col("__ip_narrow") == F.col("__bucket_narrow"), "left")
-    joined = joined.join(wide, F.col("__ip_wide") == F.col("__bucket_wide"), "left")
-
-    def best(label: str):
-        inside = F.filter(f"__candidates_{label}", lambda c: F.col("__ip").between(c["lo"], c["hi"]))
-        return F.get(inside, F.lit(0))
-
-    found = joined.withColumn("__best", F.coalesce(best("narrow"), best("wide")))
-    return found.select(*events.columns, *[F.col(f"__best.{c}").alias(c) for c in columns])
+cidr_join6 = cidr_join  # one operator for both families
 
 
 def resolve_names(events: DataFrame, key: str, table: DataFrame, table_key: str, answer: str, name: str) -> DataFrame:

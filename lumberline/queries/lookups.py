@@ -388,6 +388,58 @@ def udf_netrange(spark, sf_dir):
     return found.select("event_id", F.col("range.lo").alias("lo"), F.col("range.hi").alias("hi"))
 
 
+def _six():
+    return F.concat(F.lit("2001:db8:"), F.lower(F.hex(F.col("event_id") % 65536)), F.lit("::"), F.lower(F.hex("user_id")))
+
+
+@query(
+    "udf_ipin_column",
+    """SELECT event_id, event_id % 2 = 0 AS in_own, event_id % 65536 BETWEEN 4096 AND 8191 AS in_middle, user_id % 4 = 1 AS in_four FROM events""",
+)
+def udf_ipin_column(spark, sf_dir):
+    """Addresses of both families against networks that are columns; half of the events name another's network."""
+    own = F.concat(
+        F.lit("2001:db8:"), F.lower(F.hex(F.when(F.col("event_id") % 2 == 0, F.col("event_id")).otherwise(F.col("event_id") + 1) % 65536)), F.lit("::/48")
+    )
+    four = F.concat(F.lit("10."), (F.col("user_id") % 4).cast("string"), F.lit(".0.0/16"))
+    return events(spark, sf_dir).select(
+        "event_id", net.ipin_column(_six(), own).alias("in_own"), net.ipin_column(_six(), F.lit("2001:db8:1000::/36")).alias("in_middle"),
+        net.ipin_column(F.lit("10.1.2.3"), four).alias("in_four"),
+    )
+
+
+@query(
+    "udf_netrange_v6",
+    """WITH e AS (SELECT event_id, event_id % 65536 AS g, 33 + event_id % 16 AS len FROM events), r AS (SELECT *, g - g % (1::BIGINT << (48 - len)::INTEGER) AS lo, g - g % (1::BIGINT << (48 - len)::INTEGER) + (1::BIGINT << (48 - len)::INTEGER) - 1 AS hi FROM e)
+       SELECT event_id, CASE WHEN lo = 0 THEN '2001:db8::' ELSE '2001:db8:' || lower(to_hex(lo)) || '::' END AS lo, '2001:db8:' || lower(to_hex(hi)) || ':ffff:ffff:ffff:ffff:ffff' AS hi FROM r""",
+)
+def udf_netrange_v6(spark, sf_dir):
+    cidr = F.concat(_six(), F.lit("/"), (33 + F.col("event_id") % 16).cast("string"))
+    found = events(spark, sf_dir).withColumn("range", net.netrange(cidr))
+    return found.select("event_id", F.col("range.lo").alias("lo"), F.col("range.hi").alias("hi"))
+
+
+@query(
+    "cidr_join_mixed",
+    """WITH e AS (SELECT event_id, event_id % 65536 AS g, user_id % 256 AS u FROM events), t AS (SELECT DISTINCT o_orderkey % 65536 AS k FROM orders)
+       SELECT e.event_id, CASE WHEN event_id % 2 = 0 AND a.k IS NOT NULL THEN 'six-' || a.k WHEN event_id % 2 = 0 THEN 'outer' WHEN b.k IS NOT NULL THEN 'four-' || b.k END AS name
+       FROM e LEFT JOIN t a ON a.k = e.g LEFT JOIN t b ON b.k = e.g - e.g % 256 + e.u""",
+)
+def cidr_join_mixed(spark, sf_dir):
+    """A large table of networks of both families, one pair for each order, joined with addresses of both."""
+    keys = table(spark, sf_dir, "orders").select((F.col("o_orderkey") % 65536).alias("k")).distinct()
+    six = keys.select(F.concat(F.lit("2001:db8:"), F.lower(F.hex("k")), F.lit("::/48")).alias("network"), F.concat(F.lit("six-"), F.col("k").cast("string")).alias("name"))
+    four = keys.select(
+        F.concat(F.lit("10."), F.floor(F.col("k") / 256).cast("string"), F.lit("."), (F.col("k") % 256).cast("string"), F.lit(".0/24")).alias("network"),
+        F.concat(F.lit("four-"), F.col("k").cast("string")).alias("name"),
+    )
+    nets = six.unionByName(four).unionByName(literal_table(spark, [("2001:db8::/32", "outer")], "network string, name string"))
+    g, u = F.col("event_id") % 65536, F.col("user_id") % 256
+    ip4 = F.concat(F.lit("10."), F.floor(g / 256).cast("string"), F.lit("."), u.cast("string"), F.lit(".9"))
+    ev = events(spark, sf_dir).withColumn("ip", F.when(F.col("event_id") % 2 == 0, _six()).otherwise(ip4))
+    return cidr_join(ev, "ip", nets, ["name"]).select("event_id", "name")
+
+
 @query("udf_ip_to_long", f"WITH {IPS} SELECT event_id, coalesce(num, 0) AS ip_long FROM nums")
 def udf_ip_to_long(spark, sf_dir):
     return with_ip(events(spark, sf_dir)).select("event_id", net.ip_to_long(F.col("ip")).alias("ip_long"))

@@ -11,11 +11,11 @@ from lumberline.operators.chunked import running
 from lumberline.operators.windows import first_n
 
 
-def distribution(df: DataFrame, keys: Sequence[str], value: str, width: float) -> DataFrame:
+def distribution(df: DataFrame, keys: Sequence[str], value: str, width: float | None = None) -> DataFrame:
     """count, mean, stddev (sample), exact median and mean absolute deviation per key.
 
     Rows are folded to (key, value, count) before anything is ordered; the ordered
-    pass is cut into value ranges of ``width``, so no task holds all values of a key.
+    pass is cut into chunks of values, so no task holds all values of a large key.
     """
     counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__n"))
     ranked = running(

@@ -1,10 +1,15 @@
 """Ordered (window) work that stays spread out when one key is huge.
 
 A plain ``Window.partitionBy(key).orderBy(ts)`` sends all rows of a key to one
-task. Here the order column is cut into chunks of fixed width, windows run per
-(key, chunk), and only one small summary row per (key, chunk) is combined across
-chunks. Results are exact; a key holding a third of all rows is processed by as
-many tasks as it has chunks.
+task. Here the order column is cut into chunks, windows run per (key, chunk), and
+only one small summary row per (key, chunk) is combined across chunks. Results are
+exact; a key holding a third of all rows is processed by as many tasks as it has
+chunks.
+
+Rows are counted per key first. A key of at most ``ROWS_PER_CHUNK`` rows is one chunk;
+a larger one is cut at quantiles of its own order column, so that its chunks hold about
+equally many rows however bunched they are. Where no key is large the summaries fall
+away. A ``width`` asks for chunks of that width instead, without counting.
 
 ``order`` must be a numeric column (epoch microseconds, a position, a value).
 Ties are broken by ``tie``, which should make the order total.
@@ -18,8 +23,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lumberline.functions.binding import last_at_most
+
 HOUR_US = 3_600_000_000
-_CHUNK = "__chunk"
+ROWS_PER_CHUNK = 200_000
+MOST_CHUNKS = 4096  # of one key
+CHUNK = "__chunk"
 _KEY = "__key"
 
 
@@ -28,23 +37,49 @@ def slot_number(position: Column, width: int) -> Column:
     return ((position - F.pmod(position, F.lit(width))) / F.lit(width)).cast("bigint")
 
 
-def _cut(df: DataFrame, keys: Sequence[str], order: str, width: float) -> tuple[DataFrame, list[str]]:
-    """Add the chunk and the grouping key.
+def chunks(df: DataFrame, keys: Sequence[str], order: str, width: float | None) -> tuple[DataFrame, list[str], bool]:
+    """Add the chunk and the grouping key; and whether every key is one chunk.
 
     The keys are packed into a struct: it is never NULL, so a NULL key is a group
     of its own and the summary joins back by plain equality, on the very
     partitioning the local windows already have.
     """
+    key = [_KEY] if keys else []
+    out = df.withColumn(_KEY, F.struct(*keys)) if keys else df
+    if width is None:
+        return *_equal_chunks(out, key, order), key
     whole = isinstance(df.schema[order].dataType, T.IntegralType)
     at = F.col(order)
     chunk = slot_number(at, int(width)) if whole else F.floor(at / F.lit(width)).cast("bigint")
-    out = df.withColumn(_CHUNK, F.coalesce(chunk, F.lit(-(2**62))))
-    if not keys:
-        return out, []
-    return out.withColumn(_KEY, F.struct(*keys)), [_KEY]
-
-
-def _attach(rows: DataFrame, summary: DataFrame, on: list[str]) -> DataFrame:
+    return out.withColumn(CHUNK, F.coalesce(chunk, F.lit(-(2**62)))), False, key
+
+
+def _equal_chunks(df: DataFrame, key: list[str], order: str) -> tuple[DataFrame, bool]:
+    """Chunks by quantiles of ``order`` within the keys that have many rows."""
+    sizes = df.groupBy(*key).agg(F.count(F.lit(1)).alias("__n"))
+    most = sizes.agg(F.max("__n")).first()[0] or 0
+    if most <= ROWS_PER_CHUNK:
+        return df.withColumn(CHUNK, F.lit(0).cast("bigint")), True
+    parts = min(MOST_CHUNKS, -(-most // ROWS_PER_CHUNK))
+    cuts = F.percentile_approx(order, [i / parts for i in range(1, parts)], 20 * parts)
+    if not key:
+        found = F.lit(df.agg(cuts).first()[0] or []).cast(T.ArrayType(df.schema[order].dataType))  # below MOST_CHUNKS numbers
+        return df.withColumn(CHUNK, _chunk_of(found, order)), False
+    # At most (rows / ROWS_PER_CHUNK) keys are large; only these are sketched.
+    large = sizes.filter(F.col("__n") > ROWS_PER_CHUNK).select(F.col(_KEY).alias("__large"))
+    sketched = df.select(_KEY, order).join(large, F.col(_KEY) == F.col("__large"), "left_semi")
+    found = sketched.groupBy(F.col(_KEY).alias("__large")).agg(cuts.alias("__cuts"))
+    cut = df.join(found, F.col(_KEY) == F.col("__large"), "left")
+    return cut.withColumn(CHUNK, _chunk_of(F.col("__cuts"), order)).drop("__large", "__cuts"), False
+
+
+def _chunk_of(cuts: Column, order: str) -> Column:
+    """How many of the sorted cuts are at most the row's order; rows without an order come first."""
+    at = F.when(cuts.isNotNull(), last_at_most(cuts, F.col(order)) + 1).otherwise(0)
+    return F.when(F.col(order).isNull(), -1).otherwise(at).cast("bigint")
+
+
+def attach(rows: DataFrame, summary: DataFrame, on: list[str]) -> DataFrame:
     """Join a summary that is unique per ``on`` back to the rows."""
     renamed = summary.withColumnsRenamed({c: "__r" + c for c in on})
     cond = None
@@ -56,7 +91,7 @@ def _attach(rows: DataFrame, summary: DataFrame, on: list[str]) -> DataFrame:
 
 def _earlier(key: list[str]):
     """All chunks of a key before the current one."""
-    return Window.partitionBy(*key).orderBy(_CHUNK).rowsBetween(Window.unboundedPreceding, -1)
+    return Window.partitionBy(*key).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
 
 
 def sequence_number(
@@ -64,17 +99,19 @@ def sequence_number(
     keys: Sequence[str],
     order: str,
     tie: Sequence[str] = (),
-    width: float = HOUR_US,
+    width: float | None = None,
     name: str = "seq",
 ) -> DataFrame:
     """Exact 1-based row number per key in ``(order, tie)`` order."""
-    cut, key = _cut(df, keys, order, width)
-    local = Window.partitionBy(*key, _CHUNK).orderBy(order, *tie)
+    cut, single, key = chunks(df, keys, order, width)
+    local = Window.partitionBy(*key, CHUNK).orderBy(order, *tie)
+    if single:
+        return cut.withColumn(name, F.row_number().over(local).cast("bigint")).drop(CHUNK, *key)
     numbered = cut.withColumn("__local", F.row_number().over(local).cast("bigint"))
-    sizes = cut.groupBy(*key, _CHUNK).agg(F.count(F.lit(1)).alias("__n"))
-    offsets = sizes.select(*key, _CHUNK, F.coalesce(F.sum("__n").over(_earlier(key)), F.lit(0)).alias("__before"))
-    out = _attach(numbered, offsets, [*key, _CHUNK])
-    return out.withColumn(name, F.col("__local") + F.col("__before")).drop("__local", "__before", _CHUNK, *key)
+    sizes = cut.groupBy(*key, CHUNK).agg(F.count(F.lit(1)).alias("__n"))
+    offsets = sizes.select(*key, CHUNK, F.coalesce(F.sum("__n").over(_earlier(key)), F.lit(0)).alias("__before"))
+    out = attach(numbered, offsets, [*key, CHUNK])
+    return out.withColumn(name, F.col("__local") + F.col("__before")).drop("__local", "__before", CHUNK, *key)
 
 
 def running(
@@ -86,15 +123,15 @@ def running(
     minima: dict[str, Column] | None = None,
     totals: dict[str, Column] | None = None,
     tie: Sequence[str] = (),
-    width: float = HOUR_US,
+    width: float | None = None,
 ) -> DataFrame:
     """Running sum / max / min per key, current row included.
 
     A running count is the running sum of ``F.lit(1)``. ``totals`` are sums over
     the whole key, delivered with every row by the same summary.
     """
-    cut, key = _cut(df, keys, order, width)
-    local = Window.partitionBy(*key, _CHUNK).orderBy(order, *tie).rowsBetween(Window.unboundedPreceding, 0)
+    cut, single, key = chunks(df, keys, order, width)
+    local = Window.partitionBy(*key, CHUNK).orderBy(order, *tie).rowsBetween(Window.unboundedPreceding, 0)
     plans = [
         (sums or {}, F.sum, lambda a, b: F.coalesce(a + b, a, b)),
         (maxima or {}, F.max, F.greatest),
@@ -111,11 +148,15 @@ def running(
         partial.append(F.sum(expr).alias("__s_" + name))
         carry["__c_" + name] = F.sum("__s_" + name).over(Window.partitionBy(*key))
         final[name] = F.col("__c_" + name)
+    if single:
+        whole = Window.partitionBy(*key, CHUNK)
+        columns = {n: agg(e).over(local) for group, agg, _ in plans for n, e in group.items()}
+        return cut.withColumns(columns | {n: F.sum(e).over(whole) for n, e in (totals or {}).items()}).drop(CHUNK, *key)
     here = cut.withColumns(inner) if inner else cut
-    summary = cut.groupBy(*key, _CHUNK).agg(*partial)
-    before = summary.select(*key, _CHUNK, *[c.alias(n) for n, c in carry.items()])
-    out = _attach(here, before, [*key, _CHUNK]).withColumns(final)
-    return out.drop(_CHUNK, *key, *inner, *carry)
+    summary = cut.groupBy(*key, CHUNK).agg(*partial)
+    before = summary.select(*key, CHUNK, *[c.alias(n) for n, c in carry.items()])
+    out = attach(here, before, [*key, CHUNK]).withColumns(final)
+    return out.drop(CHUNK, *key, *inner, *carry)
 
 
 def carry_last(
@@ -125,33 +166,37 @@ def carry_last(
     value: Column,
     name: str,
     tie: Sequence[str] = (),
-    width: float = HOUR_US,
+    width: float | None = None,
     include_current: bool = True,
 ) -> DataFrame:
     """Last non-NULL ``value`` at (or, exclusively, before) each row, per key."""
-    cut, key = _cut(df, keys, order, width)
+    cut, single, key = chunks(df, keys, order, width)
     cut = cut.withColumn("__value", value)
     until = 0 if include_current else -1
-    local = Window.partitionBy(*key, _CHUNK).orderBy(order, *tie).rowsBetween(Window.unboundedPreceding, until)
+    local = Window.partitionBy(*key, CHUNK).orderBy(order, *tie).rowsBetween(Window.unboundedPreceding, until)
+    if single:
+        return cut.withColumn(name, F.last("__value", ignorenulls=True).over(local)).drop(CHUNK, *key, "__value")
     here = cut.withColumn("__l", F.last("__value", ignorenulls=True).over(local))
     position = F.when(F.col("__value").isNotNull(), F.struct(order, *tie))
-    ends = cut.groupBy(*key, _CHUNK).agg(F.max_by("__value", position).alias("__end"))
-    before = ends.select(*key, _CHUNK, F.last("__end", ignorenulls=True).over(_earlier(key)).alias("__c"))
-    out = _attach(here, before, [*key, _CHUNK])
-    return out.withColumn(name, F.coalesce("__l", "__c")).drop(_CHUNK, *key, "__value", "__l", "__c")
+    ends = cut.groupBy(*key, CHUNK).agg(F.max_by("__value", position).alias("__end"))
+    before = ends.select(*key, CHUNK, F.last("__end", ignorenulls=True).over(_earlier(key)).alias("__c"))
+    out = attach(here, before, [*key, CHUNK])
+    return out.withColumn(name, F.coalesce("__l", "__c")).drop(CHUNK, *key, "__value", "__l", "__c")
 
 
 def previous_position(
-    df: DataFrame, keys: Sequence[str], order: str, name: str, tie: Sequence[str] = (), width: float = HOUR_US
+    df: DataFrame, keys: Sequence[str], order: str, name: str, tie: Sequence[str] = (), width: float | None = None
 ) -> DataFrame:
     """``order`` of the row just before, per key; NULL for the first row."""
-    cut, key = _cut(df, keys, order, width)
-    local = Window.partitionBy(*key, _CHUNK).orderBy(order, *tie)
+    cut, single, key = chunks(df, keys, order, width)
+    local = Window.partitionBy(*key, CHUNK).orderBy(order, *tie)
+    if single:
+        return cut.withColumn(name, F.lag(order).over(local)).drop(CHUNK, *key)
     here = cut.withColumn("__l", F.lag(order).over(local))
-    ends = cut.groupBy(*key, _CHUNK).agg(F.max(order).alias("__end"))
-    before = ends.select(*key, _CHUNK, F.max("__end").over(_earlier(key)).alias("__c"))
-    out = _attach(here, before, [*key, _CHUNK])
-    return out.withColumn(name, F.coalesce("__l", "__c")).drop(_CHUNK, *key, "__l", "__c")
+    ends = cut.groupBy(*key, CHUNK).agg(F.max(order).alias("__end"))
+    before = ends.select(*key, CHUNK, F.max("__end").over(_earlier(key)).alias("__c"))
+    out = attach(here, before, [*key, CHUNK])
+    return out.withColumn(name, F.coalesce("__l", "__c")).drop(CHUNK, *key, "__l", "__c")
 
 
 def with_halo(df: DataFrame, order: str, width: int, reach: int, forward: bool = True) -> DataFrame:
@@ -174,7 +219,7 @@ def with_halo(df: DataFrame, order: str, width: int, reach: int, forward: bool =
     copies = F.when(near, F.array(home, copy)).otherwise(F.array(home))
     return (
         df.withColumn("__copy", F.explode(copies))
-        .withColumns({_CHUNK: F.col("__copy.c"), "__halo": F.col("__copy.h")})
+        .withColumns({CHUNK: F.col("__copy.c"), "__halo": F.col("__copy.h")})
         .drop("__copy")
     )
 
@@ -192,9 +237,9 @@ def over_range(
     ``aggregates`` are plain aggregate expressions (``F.sum("x")``).
     """
     spread = with_halo(df, order, width or 4 * reach, reach)
-    frame = Window.partitionBy(*keys, _CHUNK).orderBy(order).rangeBetween(-(reach - 1), 0)
+    frame = Window.partitionBy(*keys, CHUNK).orderBy(order).rangeBetween(-(reach - 1), 0)
     framed = spread.withColumns({n: agg.over(frame) for n, agg in aggregates.items()})
-    return framed.filter(~F.col("__halo")).drop(_CHUNK, "__halo")
+    return framed.filter(~F.col("__halo")).drop(CHUNK, "__halo")
 
 
 def over_rows(
@@ -205,7 +250,7 @@ def over_rows(
     back: int = 0,
     ahead: int = 0,
     tie: Sequence[str] = (),
-    width: float = HOUR_US,
+    width: float | None = None,
     rows_per_chunk: int = 100_000,
 ) -> DataFrame:
     """Window expressions that look at most ``back`` or ``ahead`` rows away, per key.
@@ -220,6 +265,6 @@ def over_rows(
     numbered = sequence_number(df, keys, order, tie, width)
     reach = max(back, ahead)
     spread = with_halo(numbered, "seq", max(rows_per_chunk, reach, 1), reach, forward=not ahead)
-    window = Window.partitionBy(*keys, _CHUNK).orderBy("seq")
+    window = Window.partitionBy(*keys, CHUNK).orderBy("seq")
     framed = spread.withColumns(columns(window))
-    return framed.filter(~F.col("__halo")).drop(_CHUNK, "__halo")
+    return framed.filter(~F.col("__halo")).drop(CHUNK, "__halo")

@@ -10,9 +10,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lumberline.functions.binding import last_at_most
 from lumberline.functions.net import address_key, masked_key, network_keys
 from lumberline.session import fresh_path
 
@@ -80,22 +81,6 @@ def disjoint_ranges(networks: DataFrame, columns: Sequence[str], network: str =
     return begins.unionByName(behind.select(F.concat("hi", F.lit("~")).alias("point"), "owner")), 2 * number
 
 
-def _last_at_most(sorted_values: Column, value: Column) -> Column:
-    """Place (from 0) of the last of some sorted values that is at most ``value``; -1 if none is. A binary search."""
-    start = F.struct(F.lit(0).alias("low"), F.size(sorted_values).alias("high"))  # the answer + 1 is in low..high
-    steps = F.sequence(F.lit(0), F.ceil(F.log2(F.size(sorted_values) + 1)).cast("int"))
-
-    def halve(acc: Column, _: Column) -> Column:
-        middle = F.shiftright(acc["low"] + acc["high"] + 1, 1)
-        fits = F.get(sorted_values, middle - 1) <= value
-        halved = F.struct(
-            F.when(fits, middle).otherwise(acc["low"]).alias("low"), F.when(fits, acc["high"]).otherwise(middle - 1).alias("high")
-        )
-        return F.when(acc["low"] < acc["high"], halved).otherwise(acc)
-
-    return F.aggregate(steps, start, halve)["low"] - 1
-
-
 def range_blocks(ranges: DataFrame, most: int) -> tuple[DataFrame, list[str]]:
     """``__block, __points, __owners``: the ranges in blocks of about equal size, in order; and each block's first point.
 
@@ -132,14 +117,14 @@ def cidr_join(
     blocks, points = range_blocks(*disjoint_ranges(networks, columns, network))
     probed = events.withColumn("__ip", address_key(F.col(ip)))
     if len(points) > 1:
-        block = _last_at_most(F.array(*map(F.lit, points)), F.col("__ip"))
+        block = last_at_most(F.array(*map(F.lit, points)), F.col("__ip"))
     else:
         block = F.lit(0)
     # Rows without an address match nothing; spread them instead of meeting in one task.
     nowhere = -2 - F.spark_partition_id()
     probed = probed.withColumn("__at", F.when(F.col("__ip").isNotNull(), block).otherwise(nowhere))
     joined = probed.join(blocks, F.col("__at") == F.col("__block"), "left")
-    best = joined.withColumn("__best", F.get("__owners", _last_at_most(F.col("__points"), F.col("__ip"))))
+    best = joined.withColumn("__best", F.get("__owners", last_at_most(F.col("__points"), F.col("__ip"))))
     return best.select(*events.columns, *[F.col(f"__best.{c}").alias(c) for c in columns])
 
 

@@ -9,7 +9,7 @@ from re import _parser
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumberline.operators.chunked import HOUR_US, carry_last, over_rows, running
+from lumberline.operators.chunked import carry_last, over_rows, running
 from lumberline.operators.joins import exists_in_range, nearest_in_range
 from lumberline.operators.windows import latest_per_key
 
@@ -21,7 +21,7 @@ def assemble_lines(
     text: str,
     start: Column,
     separator: str = "\n",
-    width: int = 100_000,
+    width: int | None = None,
     tie: Sequence[str] = (),
     max_chars: int | None = None,
 ) -> DataFrame:
@@ -56,7 +56,7 @@ def join_lines(
 
 def split_entries(
     lines: DataFrame, keys: Sequence[str], position: str, text: str, start: Column, separator: str = "\n",
-    width: int = 100_000, tie: Sequence[str] = (), max_chars: int = 1 << 20, before: str = "__before",
+    width: int | None = None, tie: Sequence[str] = (), max_chars: int = 1 << 20, before: str = "__before",
 ) -> DataFrame:
     """Number the lines' entries, and cut entries of more than ``max_chars`` characters into parts.
 
@@ -144,7 +144,7 @@ def match_rows(
 
 def contexts(
     df: DataFrame, keys: Sequence[str], order: str, start: Column, end: Column,
-    tie: Sequence[str] = (), width: int = HOUR_US,
+    tie: Sequence[str] = (), width: int | None = None,
 ) -> DataFrame:
     """Rows inside ``start .. end`` stretches of their key, numbered by ``context``.
 
@@ -162,7 +162,7 @@ def contexts(
     return counted.filter(inside).drop("__marker", "__before")
 
 
-def clocked(df: DataFrame, arrival: str, event_us: str, keys: Sequence[str] = (), name: str = "clock_us", tie=(), width: int = HOUR_US) -> DataFrame:
+def clocked(df: DataFrame, arrival: str, event_us: str, keys: Sequence[str] = (), name: str = "clock_us", tie=(), width: int | None = None) -> DataFrame:
     """Event clock at each arrival: the latest event time seen so far, never going back.
 
     Late events stay in the result; they are evaluated at the clock they meet.

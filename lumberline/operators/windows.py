@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumberline.operators.chunked import (
-    HOUR_US,
+    CHUNK,
+    attach,
+    chunks,
     over_range,
     over_rows,
     previous_position,
@@ -61,43 +63,32 @@ def sessions(
     order: str,
     gap_us: int,
     sums: dict[str, Column],
-    width: int = HOUR_US,
+    width: int | None = None,
 ) -> DataFrame:
     """Runs of events less than ``gap_us`` apart, with start, end and summed values.
 
-    Sessions are first built inside (key, chunk), which shrinks the data to one
-    row per local session; only those are merged across chunks. Their number per
-    key is bounded by the time span, not by the number of events.
+    Sessions are first built inside (key, chunk). Only the first local session of a
+    chunk can go on with one of an earlier chunk, which follows from one summary row
+    per chunk; the local sessions are then numbered and added up by partial aggregation.
+    So no task holds all events, or all local sessions, of a large key.
     """
-    chunk = slot_number(F.col(order), width)
-    w = Window.partitionBy(*keys, "__chunk").orderBy(order)
-    fresh = F.coalesce((F.col(order) - F.lag(order).over(w) >= F.lit(gap_us)).cast("int"), F.lit(1))
-    local = (
-        df.withColumn("__chunk", chunk)
-        .withColumn("__fresh", fresh)
-        .withColumn("__part", F.sum("__fresh").over(w.rangeBetween(Window.unboundedPreceding, 0)))
-        .groupBy(*keys, "__chunk", "__part")
-        .agg(
-            F.min(order).alias("session_start"),
-            F.max(order).alias("session_end"),
-            *[F.sum(e).alias(n) for n, e in sums.items()],
-        )
-    )
-    per_key = Window.partitionBy(*keys).orderBy("session_start")
-    apart = F.coalesce(
-        (F.col("session_start") - F.lag("session_end").over(per_key) >= F.lit(gap_us)).cast("int"), F.lit(1)
-    )
-    return (
-        local.withColumn("__fresh", apart)
-        .withColumn("__session", F.sum("__fresh").over(per_key))
-        .groupBy(*keys, "__session")
-        .agg(
-            F.min("session_start").alias("session_start"),
-            F.max("session_end").alias("session_end"),
-            *[F.sum(n).alias(n) for n in sums],
-        )
-        .drop("__session")
-    )
+    cut, single, key = chunks(df, keys, order, width)
+    part = [*key, CHUNK]
+    w = Window.partitionBy(*part).orderBy(order)
+    fresh = F.coalesce((F.col(order) - F.lag(order).over(w) >= F.lit(gap_us)).cast("int"), F.lit(0))
+    numbered = cut.withColumn("__fresh", fresh).withColumn("__part", F.sum("__fresh").over(w.rangeBetween(Window.unboundedPreceding, 0)))
+    ends = [F.min(order).alias("session_start"), F.max(order).alias("session_end")]
+    local = numbered.groupBy(*keys, *part, "__part").agg(*ends, *[F.sum(e).alias(n) for n, e in sums.items()])
+    if single:
+        return local.drop(*part, "__part")
+    summary = numbered.groupBy(*part).agg(F.min(order).alias("__first"), F.max(order).alias("__last"), (F.max("__part") + 1).alias("__n"))
+    earlier = Window.partitionBy(*key).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
+    goes_on = F.coalesce((F.col("__first") - F.max("__last").over(earlier) < F.lit(gap_us)).cast("int"), F.lit(0))
+    counted = summary.withColumn("__joined", goes_on)
+    before = F.coalesce(F.sum(F.col("__n") - F.col("__joined")).over(earlier), F.lit(0)) - F.col("__joined")
+    merged = attach(local, counted.select(*part, before.alias("__before")), part).withColumn("__session", F.col("__before") + F.col("__part"))
+    totals = [F.min("session_start").alias("session_start"), F.max("session_end").alias("session_end")]
+    return merged.groupBy(*keys, "__session").agg(*totals, *[F.sum(n).alias(n) for n in sums]).drop("__session")
 
 
 def sessions_stream(df: DataFrame, keys: Sequence[str], ts: str, gap: str, aggregates: Sequence[Column], lateness: str = "0 seconds") -> DataFrame:

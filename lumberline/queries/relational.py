@@ -295,7 +295,7 @@ def agg_distinct(spark, sf_dir):
        FROM events e JOIN m ON m.event_type = e.event_type GROUP BY 1""",
 )
 def agg_stats(spark, sf_dir):
-    stats = ag.distribution(events(spark, sf_dir), ["action"], "value", width=5.0)
+    stats = ag.distribution(events(spark, sf_dir), ["action"], "value")
     return stats.select(
         "action", "n", F.round("mean", 6).alias("mean"), F.round("stddev", 6).alias("stddev"), "median", F.round("avedev", 6).alias("avedev")
     )

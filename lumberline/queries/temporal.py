@@ -101,9 +101,8 @@ def _order_lines(spark, sf_dir):
 )
 def multiline_assembly(spark, sf_dir):
     """Order headers followed by their items, as one long file without any key."""
-    # About a thousand orders per chunk.
     out = sq.assemble_lines(
-        _order_lines(spark, sf_dir), [], "position", "text", F.col("text").startswith("ORDER "), width=1_000, tie=["line", "part"]
+        _order_lines(spark, sf_dir), [], "position", "text", F.col("text").startswith("ORDER "), tie=["line", "part"]
     )
     return out.select("first_position", "n_lines", "text")
 

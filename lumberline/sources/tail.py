@@ -5,11 +5,18 @@ offset of this source is ``{file: position after the last complete line}``; byte
 ranges are read by executors, large ones in several tasks, and a restarted query
 goes on where its checkpoint says. Files have to be on storage that every
 executor mounts. Compressed files are skipped.
+
+The offset holds, beside the position, a digest of the file's first bytes and of those
+before the position. Where a file no longer has them (it was truncated, or replaced by
+another of its name) it begins at 0 again, also if it has regrown past its old
+position. A file is opened only when its size, time or inode has changed since the last
+look. Bytes that came and went between two looks were never there for this source.
 """
 
 from __future__ import annotations
 
 import glob
+import hashlib
 import os
 import sys
 from collections.abc import Iterator
@@ -22,6 +29,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 _SPLIT_BYTES = 64 << 20
 _LOOK_BACK = 1 << 16
+_MARK_BYTES = 1024
 
 
 class _Range(InputPartition):
@@ -29,48 +37,79 @@ class _Range(InputPartition):
         self.file, self.start, self.end, self.aligned = file, start, end, aligned
 
 
+def _mark(f, at: int) -> str:
+    """Digest of the bytes at the beginning of a file and of those before a position."""
+    size = min(at, _MARK_BYTES)
+    f.seek(0)
+    head = f.read(size)
+    f.seek(at - size)
+    return hashlib.sha256(head + f.read(size)).hexdigest()[:32]
+
+
 class TailReader(DataSourceStreamReader):
     def __init__(self, options):
         self.pattern = options["path"]
         if "://" in self.pattern:
             raise ValueError("tail needs mounted files, given by plain paths or globs")
         self.from_end = options.get("from", "end") == "end"
+        self.known: dict[str, tuple] = {}
 
     def _files(self) -> list[str]:
-        found = sorted(f for p in self.pattern.split(",") for f in glob.glob(p) if os.path.isfile(f))
-        out = []
-        for name in found:
-            with open(name, "rb") as f:
-                if f.read(2) != b"\x1f\x8b":
-                    out.append(name)
-        return out
-
-    def _complete(self, name: str) -> int:
-        """Position just past the last newline."""
-        end = os.path.getsize(name)
-        with open(name, "rb") as f:
-            while end > 0:
-                start = max(0, end - _LOOK_BACK)
-                f.seek(start)
-                at = f.read(end - start).rfind(b"\n")
-                if at >= 0:
-                    return start + at + 1
-                end = start
+        return sorted(f for p in self.pattern.split(",") for f in glob.glob(p) if os.path.isfile(f))
+
+    def _complete(self, f, end: int) -> int:
+        """Position just past the last newline before ``end``."""
+        while end > 0:
+            start = max(0, end - _LOOK_BACK)
+            f.seek(start)
+            at = f.read(end - start).rfind(b"\n")
+            if at >= 0:
+                return start + at + 1
+            end = start
         return 0
 
+    def _look(self, name: str) -> dict | None:
+        """Position and identity of a file; None for a compressed one, and for one that is gone."""
+        try:
+            state = os.stat(name)
+            seen = (state.st_ino, state.st_size, state.st_mtime_ns)
+            if name not in self.known or self.known[name][0] != seen:
+                with open(name, "rb") as f:
+                    packed = f.read(2) == b"\x1f\x8b"
+                    at = 0 if packed else self._complete(f, state.st_size)
+                    found = None if packed else {"at": at, "mark": _mark(f, at)}
+                self.known[name] = seen, found
+            return self.known[name][1]
+        except FileNotFoundError:  # removed since it was listed
+            self.known.pop(name, None)
+            return None
+
+    def _now(self) -> dict:
+        looks = {name: self._look(name) for name in self._files()}
+        return {name: look for name, look in looks.items() if look}
+
     def initialOffset(self) -> dict:
-        return {n: self._complete(n) for n in self._files()} if self.from_end else {}
+        return self._now() if self.from_end else {}
 
     def latestOffset(self) -> dict:
-        return {n: self._complete(n) for n in self._files()}
+        return self._now()
+
+    def _begin(self, name: str, old: dict | int | None, new: dict) -> int:
+        """Where to go on in a file: 0 if it is not the one (or not the contents) that was read."""
+        if old is None or old == new:
+            return new["at"] if old else 0
+        if isinstance(old, int):  # an offset that an earlier version wrote: the position alone
+            return old if old <= new["at"] else 0
+        if new["at"] < old["at"]:
+            return 0
+        with open(name, "rb") as f:
+            return old["at"] if _mark(f, old["at"]) == old["mark"] else 0
 
     def partitions(self, start: dict, end: dict) -> list[InputPartition]:
         ranges: list[InputPartition] = []
-        for name, stop in end.items():
-            begin = start.get(name, 0)
-            if stop < begin:
-                begin = 0  # the file was truncated or replaced
-            at = begin
+        for name, new in end.items():
+            stop = new["at"]
+            at = begin = self._begin(name, start.get(name), new)
             while at < stop:
                 upto = min(at + _SPLIT_BYTES, stop)
                 ranges.append(_Range(name, at, upto, at == begin))

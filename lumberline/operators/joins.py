@@ -142,14 +142,19 @@ def _nearest_far(left, right, on, left_ts, right_ts, reach_us, right_columns, ah
     ).drop("__lt", "__rt")
 
 
-def exists_in_range(left, right, on, left_ts, right_ts, reach_us, ahead=False, negate=False) -> DataFrame:
-    """Left rows that have (or, negated, lack) a right row in reach."""
+def found_in_range(left, right, on, left_ts, right_ts, reach_us, name: str, ahead=False) -> DataFrame:
+    """All left rows, with ``name``: whether a right row is in reach. One pass answers existence and absence."""
     probe = "__found_ts"
     near = nearest_in_range(
         left, right.withColumnRenamed(right_ts, probe), on, left_ts, probe, reach_us, [], ahead
     )
-    found = F.col(probe).isNull() if negate else F.col(probe).isNotNull()
-    return near.filter(found).drop(probe)
+    return near.withColumn(name, F.col(probe).isNotNull()).drop(probe)
+
+
+def exists_in_range(left, right, on, left_ts, right_ts, reach_us, ahead=False, negate=False) -> DataFrame:
+    """Left rows that have (or, negated, lack) a right row in reach."""
+    found = found_in_range(left, right, on, left_ts, right_ts, reach_us, "__found", ahead)
+    return found.filter(~F.col("__found") if negate else F.col("__found")).drop("__found")
 
 
 def interval_outer_join(

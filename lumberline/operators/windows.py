@@ -128,6 +128,17 @@ def with_previous(
     return over_rows(df, keys, order, lambda w: {k: F.lag(v, n).over(w) for k, v in values.items()}, back=n, tie=tie)
 
 
+def with_earlier(
+    df: DataFrame, keys: Sequence[str], order: str, lags: dict[str, tuple[Column, int]], tie: Sequence[str] = ()
+) -> DataFrame:
+    """Adds for each name the value of the event so many positions earlier; rows are numbered once for all of them."""
+
+    def columns(w) -> dict[str, Column]:
+        return {name: F.lag(value, n).over(w) for name, (value, n) in lags.items()}
+
+    return over_rows(df, keys, order, columns, back=max(n for _, n in lags.values()), tie=tie).drop("seq")
+
+
 def expiries(df: DataFrame, order: str, reach_us: int, expires: str = "expires_us") -> DataFrame:
     """The events leaving a time window, stamped with when they leave.
 

@@ -50,6 +50,26 @@ def grok_register(spark, sf_dir):
     return parse(log_lines(spark, sf_dir), patterns).select("pid", "user_id", "action")
 
 
+_SYSLOG = "strftime(ts, '%b') || ' ' || lpad(CAST(day(ts) AS VARCHAR), 2, ' ') || strftime(ts, ' %H:%M:%S')"
+
+
+@query(
+    "grok_system_log",
+    f"""SELECT {_SYSLOG} AS timestamp, 'web-' || (user_id % 5) AS logsource, event_type AS program, CASE WHEN event_id % 2 = 0 THEN CAST(event_id + 1 AS VARCHAR) END AS pid,
+               CASE WHEN event_id % 3 = 0 THEN CAST(event_id % 8 AS VARCHAR) END AS facility, 'value ' || user_id AS message FROM events""",
+)
+def grok_system_log(spark, sf_dir):
+    """System log lines, made from the events, by one of the published names."""
+    patterns = PatternSet([{"name": "sys", "pattern": "%{SYSLOGBASE} %{LD:message}"}])
+    id_, user = F.col("event_id"), F.col("user_id").cast("string")
+    facility = F.when(id_ % 3 == 0, F.concat(F.lit(" <"), (id_ % 8).cast("string"), F.lit(".1>"))).otherwise("")
+    pid = F.when(id_ % 2 == 0, F.concat(F.lit("["), (id_ + 1).cast("string"), F.lit("]"))).otherwise("")
+    at = F.concat(F.date_format("ts", "MMM"), F.lit(" "), F.lpad(F.dayofmonth("ts").cast("string"), 2, " "), F.date_format("ts", " HH:mm:ss"))
+    line = F.concat(at, facility, F.lit(" web-"), (F.col("user_id") % 5).cast("string"), F.lit(" "), "action", pid, F.lit(": value "), user)
+    parsed = parse(spread(events(spark, sf_dir)).select(line.alias("data")), patterns)
+    return parsed.select("timestamp", "logsource", "program", "pid", "facility", "message")
+
+
 HIERARCHY = PatternSet(
     [
         {"name": "app", "parent": "logevents", "pattern": "user=%{INT:user_id} action=%{WORD:action} %{LD:detail}"},
@@ -373,7 +393,8 @@ def event_time_compat(spark, sf_dir):
 @query("remove_raw", f"WITH {PARTS} SELECT pid, host, 0 AS has_data FROM parts")
 def remove_raw(spark, sf_dir):
     parsed = parse(log_lines(spark, sf_dir), PatternSet(), remove_raw=True)
-    return parsed.select("pid", "host", F.lit(int("data" in parsed.columns)).alias("has_data"))
+    held = F.to_json(F.struct(*parsed.columns))
+    return parsed.select("pid", "host", held.rlike('"data":|user=').cast("int").alias("has_data"))
 
 
 @query(

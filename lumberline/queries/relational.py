@@ -238,9 +238,8 @@ def exists_in_subquery(spark, sf_dir):
     ev = events(spark, sf_dir)
     bought = side(ev, "purchase", event_id="event_id", u="user_id", a_us="ts_us")
     errors = side(ev, "error", v="user_id", b_us="ts_us")
-    has = jn.exists_in_range(bought, errors, [("u", "v")], "a_us", "b_us", 12 * HOUR)
-    lacks = jn.exists_in_range(bought, errors, [("u", "v")], "a_us", "b_us", 12 * HOUR, negate=True)
-    return has.select(F.lit("has").alias("kind"), "event_id").unionByName(lacks.select(F.lit("lacks").alias("kind"), "event_id"))
+    found = jn.found_in_range(bought, errors, [("u", "v")], "a_us", "b_us", 12 * HOUR, "found")
+    return found.select(F.when(F.col("found"), "has").otherwise("lacks").alias("kind"), "event_id")
 
 
 @query(
@@ -500,8 +499,8 @@ def win_rank_per_key(spark, sf_dir):
     """SELECT event_id, lag(value, 2) OVER (PARTITION BY user_id ORDER BY ts) AS earlier, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts) AS before_action FROM events""",
 )
 def win_prev_prior(spark, sf_dir):
-    ev = wn.with_previous(events(spark, sf_dir), ["user_id"], "ts_us", 2, {"earlier": F.col("value")}).drop("seq")
-    both = wn.with_previous(ev, ["user_id"], "ts_us", 1, {"before_action": F.col("action")})
+    lags = {"earlier": (F.col("value"), 2), "before_action": (F.col("action"), 1)}
+    both = wn.with_earlier(events(spark, sf_dir), ["user_id"], "ts_us", lags)
     return both.select("event_id", "earlier", "before_action")
 
 

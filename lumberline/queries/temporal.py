@@ -315,7 +315,7 @@ def multiline_assembly_stream(spark, sf_dir):
     base = fresh_path(spark, "lines")
     written = AssembleLines(
         f"{base}/open", [], "place", "text", F.col("text").startswith("ORDER "),
-        lambda df, n: df.write.mode("overwrite").parquet(f"{base}/entries/batch={n}"), tie=["part"], width=1_000_000,
+        lambda df, n: df.write.mode("overwrite").parquet(f"{base}/entries/batch={n}"), tie=["part"],
     )
     drain_batches(spark, stream, "lines-run", written)
     written.flush(spark)

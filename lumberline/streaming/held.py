@@ -127,7 +127,7 @@ class AssembleLines:
     def __init__(
         self, folder: str, keys: Sequence[str], position: str, text: str, start: Column,
         write: Callable[[DataFrame, int], None], tie: Sequence[str] = (), separator: str = "\n",
-        width: int = 100_000, max_chars: int = 1 << 20, flush_seconds: float | None = None, clock: Callable[[], float] = time.time,
+        width: int | None = None, max_chars: int = 1 << 20, flush_seconds: float | None = None, clock: Callable[[], float] = time.time,
     ):
         self.folder, self.keys, self.position, self.text, self.start = folder, list(keys), position, text, start
         self.write, self.tie, self.separator, self.width = write, list(tie), separator, width

@@ -25,7 +25,7 @@ def bunched(spark):
     return spark.createDataFrame(rows, "id int, key string, t long, v int, kind string").cache()
 
 
-@pytest.fixture(params=[100, 1000, 10**6])
+@pytest.fixture(params=[300, 10**6])
 def rows_per_chunk(request, monkeypatch):
     monkeypatch.setattr(chunked, "ROWS_PER_CHUNK", request.param)
     return request.param

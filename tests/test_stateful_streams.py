@@ -164,8 +164,7 @@ def log_lines(spark):
     return spark.createDataFrame(rows, "file string, at long, text string")
 
 
-@pytest.mark.parametrize("max_chars", [40, 1 << 20])
-@pytest.mark.parametrize("cuts", [[30, 31, 90], []])
+@pytest.mark.parametrize(("max_chars", "cuts"), [(40, [30, 31, 90]), (1 << 20, [60]), (40, [])])
 def test_entries_across_batches(spark, max_chars, cuts):
     lines, start = log_lines(spark), F.coalesce(F.col("text").startswith(">"), F.lit(False))
     columns = ["file", "first_position", "n_lines", "text", "entry_part", "continues"]

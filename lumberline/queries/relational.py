@@ -11,8 +11,8 @@ from lumberline.operators import windows as wn
 from lumberline.operators.sequence import split_stream
 from lumberline.plans.parse import events_of, parse
 from lumberline.queries.base import APP_TYPES, events, events_stream, log_lines, query, table
-from lumberline.session import fresh_path
-from lumberline.sinks.writers import QuerySet, tagged
+from lumberline.session import fresh_path, written
+from lumberline.sinks.writers import tagged_rows
 from lumberline.streaming.patterns import LastValueJoin, both_sides
 from lumberline.streaming.runner import drain_batches
 
@@ -78,10 +78,10 @@ def stream_filter(spark, sf_dir):
        UNION ALL SELECT 'stopping', to_json(struct_pack(pid := CAST(event_id AS VARCHAR), action := event_type))::VARCHAR FROM events WHERE event_type = 'purchase'""",
 )
 def multi_query(spark, sf_dir):
-    rules = QuerySet()
-    rules.add("starting", lambda e: e.filter("action = 'signup'").select("pid", "action"))
-    rules.add("stopping", lambda e: e.filter("action = 'purchase'").select("pid", "action"))
-    return tagged(rules.results(app_events(spark, sf_dir)))
+    """Two queries over one parse of the log."""
+    columns = ["pid", "action"]
+    rules = {"starting": (F.col("action") == "signup", columns), "stopping": (F.col("action") == "purchase", columns)}
+    return tagged_rows(app_events(spark, sf_dir), rules)
 
 
 @query(
@@ -160,7 +160,8 @@ def side(df, action, **names):
 )
 def unidirectional_window_join(spark, sf_dir):
     """Lines -> events; each purchase with the same user's signups of the last 6 hours."""
-    parsed = app_events(spark, sf_dir)
+    both = app_events(spark, sf_dir).filter(F.col("action").isin("purchase", "signup"))
+    parsed = written(both.select("pid", "user_id", "t_us", "action"), "both-sides")  # the log is parsed once
     stop = side(parsed, "purchase", stop_source="pid", id="user_id", stop_us="t_us")
     begin = side(parsed, "signup", start_source="pid", begin_id="user_id", begin_us="t_us")
     joined = jn.interval_join(stop, begin, [("id", "begin_id")], "stop_us", "begin_us", 6 * HOUR)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumberline.functions.text import json_object, render_template
@@ -111,3 +111,18 @@ def tagged(results: Mapping[str, DataFrame]) -> DataFrame:
         one = as_json(df).withColumn("query", F.lit(name))
         out = one if out is None else out.unionByName(one)
     return out
+
+
+def tagged_rows(events: DataFrame, rules: Mapping[str, tuple[Column, Sequence[str]]]) -> DataFrame:
+    """:func:`tagged` for queries that look at one event each, given as (condition, columns).
+
+    All of them are answered in one pass over the events, so a shared parse runs once. An
+    event gives a row for each query whose condition holds.
+    """
+    if not rules:
+        raise ValueError("no queries given")
+    answers = [
+        F.when(condition, F.struct(json_object(*columns).alias("value"), F.lit(name).alias("query")))
+        for name, (condition, columns) in rules.items()
+    ]
+    return events.select(F.inline(F.array_compact(F.array(*answers))))

@@ -173,3 +173,18 @@ def test_tail_reader_offsets(tmp_path, monkeypatch):
     assert read(first, second) == ["partial", "", "last"]
     f.write_bytes(b"new\n")
     assert read(second, reader.latestOffset()) == ["new"]
+
+
+def test_queries_in_one_pass_equal_queries_one_by_one(spark):
+    from lumberline.sinks.writers import QuerySet, tagged, tagged_rows
+
+    df = spark.createDataFrame([(1, "a", None), (2, "b", "x"), (3, None, "y"), (4, "ab", "z")], "i int, k string, v string")
+    has_a, has_b = F.col("k").contains("a"), F.col("k").contains("b")
+    rules = QuerySet()
+    rules.add("first", lambda e: e.filter(has_a).select("i", "v"))
+    rules.add("second", lambda e: e.filter(has_b).select("k", "i"))
+    want = sorted((r.query, r.value) for r in tagged(rules.results(df)).collect())
+    got = tagged_rows(df, {"first": (has_a, ["i", "v"]), "second": (has_b, ["k", "i"])})
+    assert sorted((r.query, r.value) for r in got.collect()) == want and len(want) == 4
+    with pytest.raises(ValueError, match="no queries"):
+        tagged_rows(df, {})

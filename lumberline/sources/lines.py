@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-import re
+import io
 import sys
 from collections.abc import Iterator, Mapping, Sequence
+from typing import BinaryIO
 
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
@@ -41,59 +42,94 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
-def scan_sniffed(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+# Stores that a task can open by itself, by the scheme of their paths.
+OPENED_BY_TASKS = ("file", "hdfs", "s3", "gs")
+
+
+def scan_sniffed(spark: SparkSession, paths: str | Sequence[str], piecewise: bool | None = None) -> DataFrame:
     """Lines of files that may be gzip whatever they are called (told by magic bytes).
 
-    Each file is one task, which unpacks it piece by piece; gzip cannot be split
-    in any case. Spark reads such a file as one value, so 2 GB compressed is the
-    limit per file; larger ones need the ``.gz`` ending and :func:`scan_lines`.
+    Each file is one task, as gzip cannot be split. Spark lists the files; the task opens
+    its file and reads and unpacks it piece by piece, so memory does not grow with the
+    file. Stores that only Spark can open (told by their paths, or ``piecewise=False``)
+    are read as one value for each file, which allows 2 GB.
     """
     files = spark.read.format("binaryFile").load(paths if isinstance(paths, str) else list(paths))
+    if piecewise is None:
+        first = files.select("path").first()
+        piecewise = first is None or first["path"].split(":", 1)[0] in OPENED_BY_TASKS
 
     def lines(batches: Iterator) -> Iterator:
         import pandas as pd
 
         for batch in batches:
-            for path, content in zip(batch["path"], batch["content"]):
-                for chunk in unpacked_lines(content):
-                    yield pd.DataFrame({"file": path, "data": chunk})
+            for path, content in zip(batch["path"], batch["content"] if "content" in batch else batch["path"]):
+                with opened(path) if piecewise else io.BytesIO(content) as f:
+                    for chunk in unpacked_lines(f):
+                        yield pd.DataFrame({"file": path, "data": chunk})
+
+    # The contents are read by Spark only where they are asked for.
+    return files.select("path", *[] if piecewise else ["content"]).mapInPandas(lines, "file string, data string")
 
-    return files.select("path", "content").mapInPandas(lines, "file string, data string")
 
+def opened(path: str) -> BinaryIO:
+    """A file of a mounted folder, or of a store Arrow knows, to be read from its beginning."""
+    scheme, _, rest = path.partition(":")
+    if scheme == "file":
+        return open("/" + rest.lstrip("/"), "rb")
+    from pyarrow.fs import FileSystem
 
-def unpacked_lines(content: bytes, step: int = 1 << 20, rows: int = 10_000) -> Iterator[list[str]]:
-    """Lists of lines of a (possibly gzip, possibly multi-member) byte string.
+    store, name = FileSystem.from_uri(path)
+    return store.open_input_stream(name, compression=None)
 
-    Zeros after a member are padding. A gzip stream that stops early is an error.
+
+def unpacked_lines(source: bytes | BinaryIO, step: int = 1 << 20, rows: int = 10_000) -> Iterator[list[str]]:
+    """Lists of lines of a (possibly gzip, possibly multi-member) file or byte string.
+
+    At most ``step`` bytes are read and eight times as many unpacked at a time. Zeros after
+    a member are padding. A gzip stream that stops early is an error.
     """
     import zlib
 
+    f = io.BytesIO(source) if isinstance(source, bytes) else source
+
     def pieces() -> Iterator[bytes]:
-        if content[:2] != b"\x1f\x8b":
-            for i in range(0, len(content), step):
-                yield content[i:i + step]
+        fed = f.read(step)
+        while len(fed) < 2 and (more := f.read(step)):
+            fed += more
+        if fed[:2] != b"\x1f\x8b":
+            while fed:
+                yield fed
+                fed = f.read(step)
             return
-        unpack, at = zlib.decompressobj(31), 0
-        while at < len(content):
-            fed = content[at:at + step]
-            yield unpack.decompress(fed)
-            at += len(fed)
-            if unpack.eof:
-                at = re.compile(rb"\0*").match(content, at - len(unpack.unused_data)).end()
-                if at < len(content):
-                    unpack = zlib.decompressobj(31)
-        if not unpack.eof:
+        unpack, held = zlib.decompressobj(31), False  # held: unpacked bytes wait inside
+        while held or fed or (fed := f.read(step)):
+            if unpack is None:
+                if not (fed := fed.lstrip(b"\0")):
+                    continue
+                unpack = zlib.decompressobj(31)
+            piece = unpack.decompress(fed, 8 * step)
+            yield piece
+            held = not unpack.eof and len(piece) == 8 * step
+            fed, unpack = (unpack.unused_data, None) if unpack.eof else (unpack.unconsumed_tail, unpack)
+        if unpack is not None:
             raise EOFError("a gzip file ends before its stream does")
 
-    rest, out = b"", []
+    rest, out, held = [], [], 0
     for piece in pieces():
-        *full, rest = (rest + piece).split(b"\n")
-        out.extend(line.removesuffix(b"\r").decode("utf-8", "replace") for line in full)
-        if len(out) >= rows:
-            yield out
-            out = []
-    if rest:
-        out.append(rest.decode("utf-8", "replace"))
+        if b"\n" not in piece:
+            rest.append(piece)  # a line over several pieces is joined once
+            continue
+        first, *full = piece.split(b"\n")
+        full, rest = [b"".join([*rest, first]), *full[:-1]], [full[-1]]
+        for line in full:
+            out.append(line.removesuffix(b"\r").decode("utf-8", "replace"))
+            held += len(line)
+            if len(out) >= rows or held >= 8 * step:
+                yield out
+                out, held = [], 0
+    if last := b"".join(rest):
+        out.append(last.decode("utf-8", "replace"))
     if out:
         yield out
 

@@ -11,6 +11,7 @@ from __future__ import annotations
 import time
 from collections.abc import Callable, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -63,13 +64,28 @@ class NamedWindow:
         self.seconds, self.clock = seconds, clock
         self.saved_at, self.number = clock(), None
 
+    def _saved(self) -> DataFrame:
+        """The store's snapshot; without one, nothing."""
+        try:
+            return self.store.restore(self.name, self.schema)
+        except FileNotFoundError:
+            return self.store.spark.createDataFrame([], self.schema)
+
+    def _start(self, spark: SparkSession) -> DataFrame:
+        """What the checkpoint's first batch meets. It is copied once, so that batch meets it again when replayed
+        after a snapshot that already holds its rows."""
+        start, done = f"{self.folder}/start", f"{self.folder}/start-done"
+        try:
+            spark.read.text(done)
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            self._saved().write.mode("overwrite").parquet(start)
+            spark.createDataFrame([("done",)], "value string").coalesce(1).write.text(done)
+        return spark.read.schema(self.schema).parquet(start)
+
     def _held(self, spark: SparkSession, number: int) -> DataFrame:
-        if number == 0:
-            try:
-                return self.store.restore(self.name, self.schema)
-            except FileNotFoundError:
-                pass
-        return handed_on(spark, self.folder, number, self.schema)
+        return handed_on(spark, self.folder, number, self.schema) if number else self._start(spark)
 
     def __call__(self, batch: DataFrame, number: int) -> None:
         held = self._held(batch.sparkSession, number)
@@ -81,7 +97,7 @@ class NamedWindow:
     def contents(self) -> DataFrame:
         """The window after the last batch this handler saw; before the first, the store's snapshot."""
         if self.number is None:
-            return self._held(self.store.spark, 0)
+            return self._saved()
         return handed_on(self.store.spark, self.folder, self.number + 1, self.schema)
 
     def save(self) -> None:

@@ -270,6 +270,31 @@ def dedup_previous_stream(spark, sf_dir):
     return drain(spark, kept.select("event_id", "user_id", "action"), "dedup")
 
 
+@query(
+    "agg_running_stream",
+    f"""WITH {PASSED} SELECT event_id, user_id, row_number() OVER w AS n, CAST(sum(CAST(round(value * 100) AS BIGINT)) OVER w AS BIGINT) AS cents, max(value) OVER w AS high, min(value) OVER w AS low
+        FROM passed WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)""",
+)
+def agg_running_stream(spark, sf_dir):
+    """Each event of a stream with its user's totals so far."""
+    cents = F.round(F.col("value") * 100).cast("bigint")
+    totals = st.running_totals_stream(
+        _timed(spark, sf_dir, "running-source"), ["user_id"], "time", ["event_id"], {"cents": cents}, {"high": F.col("value")}, {"low": F.col("value")}, ["event_id"]
+    )
+    return drain(spark, totals.select("event_id", "user_id", "n", "cents", "high", "low"), "running")
+
+
+@query(
+    "win_length_stream",
+    f"""WITH {PASSED}, o AS (SELECT event_id, user_id, lead(event_id, 5) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS pushed_by FROM passed)
+        SELECT o.event_id, o.user_id, epoch_us(e.ts) AS left_us FROM o JOIN passed e ON e.event_id = o.pushed_by""",
+)
+def win_length_stream(spark, sf_dir):
+    """Events of a stream as they leave the window of their user's last five."""
+    gone = st.length_window_stream(_timed(spark, sf_dir, "length-source"), ["user_id"], "time", 5, ["event_id"], ["event_id"])
+    return drain(spark, gone.select("event_id", "user_id", "left_us"), "length")
+
+
 @query(
     "win_expiry_stream",
     "SELECT event_id, ts + INTERVAL 10 DAY AS expires_at FROM events WHERE epoch_us(ts) + 864000000000 <= (SELECT max(epoch_us(ts)) // 1000 * 1000 FROM events)",

@@ -233,6 +233,98 @@ def suppress_repeats_stream(
     return out.select(*keys, "us", *columns)
 
 
+# -- running totals and the last rows ----------------------------------------------
+
+
+class _Running(InOrder):
+    """Sums, maxima and minima of a key so far, and its number of rows."""
+
+    def __init__(self, row_type, tie, folds: dict[str, str], columns: Sequence[str]):
+        super().__init__(row_type, tie)
+        self.folds, self.columns = folds, list(columns)
+
+    def open(self, handle) -> None:
+        fields = [T.StructField(n, self.row_type[n].dataType) for n in self.folds]
+        self.totals = handle.getValueState("totals", T.StructType([T.StructField("__n", T.LongType()), *fields]))
+
+    def take(self, key, ripe, passed_us):
+        if not ripe:
+            return
+        n, *held = self.totals.get() if self.totals.exists() else (0, *[None] * len(self.folds))
+        for us, row in ripe:
+            n += 1
+            for i, (name, fold) in enumerate(self.folds.items()):
+                new = row[name]
+                if held[i] is None or new is None:
+                    held[i] = new if held[i] is None else held[i]
+                else:
+                    held[i] = held[i] + new if fold == "sum" else max(held[i], new) if fold == "max" else min(held[i], new)
+            yield *key, us, n, *[row[c] for c in self.columns], *held
+        self.totals.update((n, *held))
+
+
+def running_totals_stream(
+    df: DataFrame, keys: Sequence[str], time: str, columns: Sequence[str], sums: dict[str, Column] | None = None,
+    maxima: dict[str, Column] | None = None, minima: dict[str, Column] | None = None, tie: Sequence[str] = (), lateness: str = "0 seconds",
+) -> DataFrame:
+    """:func:`lumberline.operators.windows.running_totals` on a stream: the totals of its key at each event.
+
+    Gives the key's columns, ``us``, ``n`` (the event's number in its key), ``columns`` and
+    the named totals, which keep the types of their expressions (of ``bigint`` or ``double``,
+    say); NULLs do not count. A key's state is the rows the watermark has not passed and one
+    number for each total.
+    """
+    named = {n: (e, fold) for fold, group in (("sum", sums), ("max", maxima), ("min", minima)) for n, e in (group or {}).items()}
+    if clash := set(named) & set(columns):
+        raise ValueError(f"totals are named like columns: {sorted(clash)}")
+    kept = [F.col(c) for c in dict.fromkeys([*columns, *tie])]
+    keyed = _keyed(df, keys, time, [*kept, *[e.alias(n) for n, (e, _) in named.items()]], lateness)
+    row_type = _field(keyed, _ROW)
+    outs = [T.StructField(n, row_type[n].dataType) for n in [*columns, *named]]
+    output = T.StructType([T.StructField("us", T.LongType()), T.StructField("n", T.LongType()), *outs])
+    return _run(keyed, _Running(row_type, tie, {n: fold for n, (_, fold) in named.items()}, columns), output, keys)
+
+
+class _LastRows(InOrder):
+    """The last ``size`` rows of a key; what falls out of them is given with what pushed it out."""
+
+    def __init__(self, row_type, tie, size: int, columns: Sequence[str]):
+        super().__init__(row_type, tie)
+        self.size, self.columns = size, list(columns)
+
+    def open(self, handle) -> None:
+        fields = [self.row_type[c] for c in self.columns]
+        self.rows = handle.getListState("rows", T.StructType([T.StructField("us", T.LongType()), *fields]))
+
+    def take(self, key, ripe, passed_us):
+        if not ripe:
+            return
+        window = [tuple(x) for x in self.rows.get()]
+        for us, row in ripe:
+            window.append((us, *[row[c] for c in self.columns]))
+            if len(window) > self.size:
+                gone = window.pop(0)
+                yield *key, us, *gone
+        self.rows.put(window)
+
+
+def length_window_stream(
+    df: DataFrame, keys: Sequence[str], time: str, size: int, columns: Sequence[str], tie: Sequence[str] = (), lateness: str = "0 seconds",
+) -> DataFrame:
+    """The rows that leave a window of the last ``size`` events of their key.
+
+    Gives the key's columns, ``left_us`` (the time of the event that pushed the row out),
+    ``us`` (its own) and ``columns``. A key's state is the window and the rows the
+    watermark has not passed.
+    """
+    if size < 1:
+        raise ValueError("a window holds at least one event")
+    keyed = _keyed(df, keys, time, [F.col(c) for c in dict.fromkeys([*columns, *tie])], lateness)
+    row_type = _field(keyed, _ROW)
+    output = T.StructType([T.StructField("left_us", T.LongType()), T.StructField("us", T.LongType()), *[row_type[c] for c in columns]])
+    return _run(keyed, _LastRows(row_type, tie, size, columns), output, keys)
+
+
 # -- expiry and output rate ---------------------------------------------------------
 
 

@@ -5,6 +5,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lumberline.operators import sequence, windows
@@ -78,6 +79,26 @@ def test_previous_event_rule(spark, source):
     assert rows_of(got, "key", "kind", "us", "id") == rows_of(want, "key", "kind", "us", "id") != []
 
 
+def test_running_totals(spark, source):
+    passed, stream, _ = source
+    value, odd = (F.col("id") * 3 % 17), F.when(F.col("id") % 3 > 0, F.col("id") % 5 / 4)
+    sums, maxima, minima = {"s": value.cast("bigint"), "o": odd}, {"hi": F.col("id")}, {"lo": odd}
+    want = windows.running_totals(passed, ["key"], "us", {**sums, "n": F.lit(1)}, maxima, minima, ["id"])
+    got = drain(spark, st.running_totals_stream(stream(), ["key"], "time", ["kind"], sums, maxima, minima, ["id"]), "running")
+    columns = ["key", "us", "n", "kind", "s", "o", "hi", "lo"]
+    assert got.columns == columns and rows_of(got, *columns) == rows_of(want, *columns) != []
+    with pytest.raises(ValueError, match="named like"):
+        st.running_totals_stream(stream(), ["key"], "time", ["kind"], {"kind": value})
+
+
+def test_rows_that_leave_a_window_of_the_last(spark, source):
+    passed, stream, _ = source
+    w = Window.partitionBy("key").orderBy("us", "id")
+    want = passed.withColumn("left_us", F.lead("us", 4).over(w)).filter("left_us is not null")
+    got = drain(spark, st.length_window_stream(stream(), ["key"], "time", 4, ["id", "kind"], ["id"]), "length")
+    assert rows_of(got, "key", "left_us", "us", "id", "kind") == rows_of(want, "key", "left_us", "us", "id", "kind") != []
+
+
 def test_expiry(spark, source):
     passed, stream, clock = source
     got = drain(spark, st.expiries_stream(stream().select("id", "key", "time"), "time", "5 minutes", "0 seconds"), "expiry")

@@ -9,7 +9,7 @@ from re import _parser
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumberline.operators.chunked import carry_last, over_rows, running
+from lumberline.operators.chunked import carry_last, over_rows, running, running_since
 from lumberline.operators.joins import exists_in_range, nearest_in_range
 from lumberline.operators.windows import latest_per_key
 
@@ -37,7 +37,8 @@ def assemble_lines(
         numbered = running(lines, keys, position, sums={"entry": F.when(start, 1).otherwise(0)}, tie=tie, width=width)
         return join_lines(numbered, [*keys, "entry"], position, text, separator, tie)
     pieces = split_entries(lines, keys, position, text, start, separator, width, tie, max_chars)
-    return join_lines(pieces, [*keys, "entry", "entry_part", "continues"], position, text, separator, tie)
+    parts = mark_continued(gather_parts(pieces, keys, position, text, separator, tie, max_chars), keys)
+    return joined_parts(parts, keys, text, separator)
 
 
 def join_lines(
@@ -54,6 +55,10 @@ def join_lines(
     )
 
 
+def _own_chars(text: str, separator: str) -> Column:
+    return F.coalesce(F.length(text), F.lit(0)) + F.lit(len(separator))
+
+
 def split_entries(
     lines: DataFrame, keys: Sequence[str], position: str, text: str, start: Column, separator: str = "\n",
     width: int | None = None, tie: Sequence[str] = (), max_chars: int = 1 << 20, before: str = "__before",
@@ -61,27 +66,50 @@ def split_entries(
     """Number the lines' entries, and cut entries of more than ``max_chars`` characters into parts.
 
     Adds ``entry``, ``entry_part`` (how often ``max_chars`` fits into the entry's characters
-    before the line), ``continues`` (a later part follows) and ``before``, those
-    characters. Lines that already have a ``before`` go on with an entry that began
+    before the line) and ``before``, those characters, and ``__entries``, the number of the
+    last entry. Lines that already have a ``before`` go on with an entry that began
     earlier. A part holds at most ``max_chars`` and one line more; no line is lost.
     """
     if clash := {"entry", "entry_part", "continues"} & set(lines.columns):
         raise ValueError(f"lines already have columns named {sorted(clash)}")
-    own = F.coalesce(F.length(text), F.lit(0)) + F.lit(len(separator))
-    numbered = running(lines, keys, position, sums={"entry": F.when(start, 1).otherwise(0)}, tie=tie, width=width)
-    local = running(numbered, [*keys, "entry"], position, sums={"__local": own}, tie=tie, width=width)
-    local = local.withColumns({"__local": F.col("__local") - own, "__entry": F.struct(*keys, "entry")})
+    begins = F.when(start, 1).otherwise(0)
+    reset = F.when(start, F.lit(0).cast("bigint"))
     if before in lines.columns:
-        known = local.filter(F.col(before).isNotNull()).groupBy(F.col("__entry").alias("__of"))
-        bases = known.agg(F.max(F.col(before) - F.col("__local")).alias("__base"))
-        local = local.join(bases, F.col("__entry") == F.col("__of"), "left").drop("__of")
-    else:
-        local = local.withColumn("__base", F.lit(0))
-    at = F.coalesce("__base", F.lit(0)) + F.col("__local")
-    parts = local.withColumns({before: at.cast("bigint"), "entry_part": F.floor(at / F.lit(max_chars)).cast("bigint")})
-    ends = parts.groupBy(F.col("__entry").alias("__of")).agg(F.max("entry_part").alias("__end"))
-    marked = parts.join(ends, F.col("__entry") == F.col("__of")).withColumn("continues", F.col("entry_part") < F.col("__end"))
-    return marked.drop("__local", "__entry", "__base", "__of", "__end")
+        reset = F.coalesce(before, reset)
+    own = _own_chars(text, separator)
+    at = running_since(lines, keys, position, own, reset, "__at", begins, "entry", "__entries", tie, width)
+    parts = {before: F.col("__at").cast("bigint"), "entry_part": F.floor(F.col("__at") / F.lit(max_chars)).cast("bigint")}
+    return at.withColumns(parts).drop("__at")
+
+
+def gather_parts(
+    pieces: DataFrame, keys: Sequence[str], position: str, text: str, separator: str = "\n",
+    tie: Sequence[str] = (), max_chars: int = 1 << 20, before: str = "__before", more: Sequence[Column] = (),
+) -> DataFrame:
+    """One row for each part of an entry: its lines in order as ``__lines``, ``first_position`` and the aggregates ``more``.
+
+    ``__next`` is the part that the entry's next line, if there is one, belongs to.
+    """
+    ordered = F.array_sort(F.collect_list(F.struct(position, *tie, text, before)))
+    reached = F.max(F.col(before) + _own_chars(text, separator))
+    parts = pieces.groupBy(*keys, "entry", "entry_part").agg(
+        ordered.alias("__lines"), F.min(position).alias("first_position"), reached.alias("__reached"), *more
+    )
+    return parts.withColumn("__next", F.floor(F.col("__reached") / F.lit(max_chars)).cast("bigint")).drop("__reached")
+
+
+def mark_continued(parts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Add ``continues``: a later part of the entry follows. Only parts that are full, which are few, are looked up."""
+    later = parts.filter("entry_part > 0").select(F.struct(*keys, "entry", "entry_part").alias("__of"))
+    full = parts.filter("__next > entry_part").join(later, F.struct(*keys, "entry", "__next") == F.col("__of"), "left")
+    looked_up = full.withColumn("continues", F.col("__of").isNotNull()).drop("__of")
+    return parts.filter("__next <= entry_part").withColumn("continues", F.lit(False)).unionByName(looked_up).drop("__next")
+
+
+def joined_parts(parts: DataFrame, keys: Sequence[str], text: str, separator: str) -> DataFrame:
+    """The parts' texts, as :func:`join_lines` gives them."""
+    joined = F.array_join(F.transform("__lines", lambda x: x[text]), separator).alias(text)
+    return parts.select(*keys, "entry", "entry_part", "continues", "first_position", F.size("__lines").alias("n_lines"), joined)
 
 
 def followed_by(

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from lumberline.operators.sequence import join_lines, split_entries
+from lumberline.operators.sequence import gather_parts, joined_parts, mark_continued, split_entries
 from lumberline.operators.windows import latest_per_key
 from lumberline.sinks.snapshots import SnapshotStore
 from lumberline.streaming.runner import SNAPSHOT_SECONDS, hand_on, handed_on
@@ -176,21 +176,18 @@ class AssembleLines:
             kept.unionByName(fresh), self.keys, self.position, self.text, self.start, self.separator, self.width,
             self.tie, self.max_chars, before="__before",
         )
-        # The last part of each file's last entry is open.
-        file = F.struct(*self.keys, F.lit(0).alias("__all"))
-        last = pieces.groupBy(file.alias("__of")).agg(
-            F.max(F.struct("entry", "entry_part")).alias("__last"), F.max("__seen").alias("__seen_last")
-        )
-        marked = pieces.join(last, file == F.col("__of"))
-        idle = F.lit(flush) if flush or self.flush_seconds is None else F.col("__seen_last") <= F.lit(now - self.flush_seconds)
-        open_ = (F.struct("entry", "entry_part") == F.col("__last")) & ~idle
-        marked = marked.withColumn("__open", open_).persist()
+        more = [F.max("__seen").alias("__seen"), F.max("__entries").alias("__entries")]
+        parts = gather_parts(pieces, self.keys, self.position, self.text, self.separator, self.tie, self.max_chars, "__before", more).persist()
         try:
-            done, group = marked.filter(~F.col("__open")), [*self.keys, "entry", "entry_part", "continues"]
-            self.write(join_lines(done, group, self.position, self.text, self.separator, self.tie).drop("entry"), number)
-            held = marked.filter("__open").select(*lines.columns, "__before", F.col("__seen_last").alias("__seen"))
-            hand_on(held, self.folder, number)
+            # The last part of each file's last entry is open.
+            idle = F.lit(flush) if flush or self.flush_seconds is None else F.col("__seen") <= F.lit(now - self.flush_seconds)
+            open_ = (F.col("entry") == F.col("__entries")) & ~F.col("continues") & ~idle
+            marked = mark_continued(parts, self.keys)
+            self.write(joined_parts(marked.filter(~open_), self.keys, self.text, self.separator).drop("entry"), number)
+            held = marked.filter(open_).select(*self.keys, "__seen", F.explode("__lines").alias("__line"))
+            rest = [c for c in self.schema.names if c not in (*self.keys, "__seen")]
+            hand_on(held.select(*[F.col("__line").getField(c).alias(c) if c in rest else c for c in self.schema.names]), self.folder, number)
         finally:
-            marked.unpersist()
+            parts.unpersist()
         self.number = number
 

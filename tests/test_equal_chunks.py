@@ -116,3 +116,28 @@ def test_empty_tables(spark, rows_per_chunk):
     assert chunked.running(none, ["key"], "t", {"s": F.col("v")}).collect() == []
     assert chunked.sequence_number(none, [], "t").collect() == []
     assert windows.sessions(none, ["key"], "t", 5, {"n": F.lit(1)}).collect() == []
+
+
+@pytest.mark.parametrize("keys", [["key"], []])
+def test_lines_are_numbered_and_measured_in_one_pass(bunched, rows_per_chunk, keys):
+    """Entry, part and characters before each line, also where an entry spans chunks; lines are not joined with their entries."""
+    lines = bunched.withColumn("text", F.repeat("kind", F.col("v"))).filter("t is not null")
+    pieces = sequence.split_entries(lines, keys, "t", "text", F.expr("id % 40 = 0"), tie=["id"], max_chars=100)
+    entry, part, before, rows = {}, {}, {}, lines.collect()
+    for key in {r["key"] if keys else 0 for r in rows}:
+        n = chars = 0
+        for r in sorted((r for r in rows if not keys or r["key"] == key), key=lambda r: (r["t"], r["id"])):
+            n, chars = (n + 1, 0) if r["id"] % 40 == 0 else (n, chars)
+            entry[r["id"]], before[r["id"]], part[r["id"]] = n, chars, chars // 100
+            chars += len(r["text"]) + 1
+    found = pieces.select("id", "entry", "entry_part", "__before").collect()
+    assert sorted(map(tuple, found)) == [(i, entry[i], part[i], before[i]) for i in sorted(entry)]
+    if rows_per_chunk == 10**6:
+        plan = pieces._jdf.queryExecution().sparkPlan().toString()
+        assert "Join" not in plan and plan.count("Window") <= 3
+
+
+def test_the_chunk_search_is_compiled(bunched, monkeypatch):
+    monkeypatch.setattr(chunked, "ROWS_PER_CHUNK", 100)
+    cut, _, _ = chunked.chunks(bunched, [], "t", None)
+    assert "aggregate(" not in cut._jdf.queryExecution().optimizedPlan().toString()

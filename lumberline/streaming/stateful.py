@@ -4,13 +4,16 @@ A row waits in its key's state until the watermark has passed it; then rows are
 in event order, so the result does not depend on how the stream was cut into batches
 and equals that of the batch operator over the rows the watermark has passed. Rows that
 come after the watermark passed them are dropped by Spark, as on any watermarked stream.
-State lives in RocksDB below the query's checkpoint, partitioned by key; what is not
-touched is not read. Rows of one key are one task's work in a micro-batch.
+State lives in RocksDB below the query's checkpoint. Every call on it from Python is a
+round trip, so keys share state in ``GROUPS`` groups: a micro-batch makes a few calls for
+each group with rows or a timer, however many keys there are. It reads and writes such
+groups whole, and others not at all. Rows of one group are one task's work in a micro-batch.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator, Sequence
+import pickle
+from collections.abc import Generator, Iterable, Iterator, Sequence
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, Row
@@ -21,6 +24,8 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from lumberline.operators.sequence import longest_match
 from lumberline.streaming.nfa import Matcher, compiled
 
+GROUPS = 4096  # Fixed value: it is part of the state, so a checkpoint goes on with the number it began with.
+ROWS_PER_VALUE = 5000
 _ROW, _US = "__row", "__us"
 
 
@@ -45,8 +50,9 @@ class _Named(StatefulProcessor):
     names: list[str]
 
     def named(self, rows: Iterable[tuple]) -> Iterator[Row]:
+        make = Row(*self.names)
         for row in rows:
-            yield Row(**dict(zip(self.names, row, strict=True)))
+            yield make(*row)
 
     def close(self) -> None:
         pass
@@ -55,8 +61,12 @@ class _Named(StatefulProcessor):
 class InOrder(_Named):
     """Rows of a key in the order of (event time, ``tie``), once the watermark has passed them.
 
-    ``take`` gets the key, the rows that became ripe and the watermark (both times in
-    microseconds), and yields output rows as tuples. Columns are of simple types.
+    ``take`` gets the key, what it kept for it (None at first), the rows that became ripe and
+    the watermark (both times in microseconds); it yields output rows as tuples and returns
+    what to keep (None: nothing). What it keeps is of simple types, as are the columns.
+
+    It runs on groups of keys (see :func:`_run_in_order`). A group's waiting rows and what its
+    keys keep are lists packed into a few values, so they cost a few calls, not one a row.
     """
 
     def __init__(self, row_type: T.StructType, tie: Sequence[str]):
@@ -64,49 +74,89 @@ class InOrder(_Named):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", T.StructType([T.StructField("us", T.LongType()), *self.row_type.fields]))
-        self.open(handle)
-
-    def open(self, handle: StatefulProcessorHandle) -> None:
-        """Declare the state of ``take``."""
+        packed = T.StructType([T.StructField("rows", T.BinaryType())])
+        self.waiting = handle.getListState("waiting", packed)  # (key's columns, microseconds, row's columns)
+        self.kept = handle.getListState("kept", packed)  # (key, what it keeps)
+        # When (in milliseconds) a row of the group gets ripe, or a key wants to be called.
+        self.due = handle.getValueState("due", T.StructType([T.StructField("ms", T.LongType())]))
 
-    def take(self, key: tuple, ripe: list[tuple[int, dict[str, Any]]], passed_us: int) -> Iterable[tuple]:
+    def take(self, key: tuple, kept: Any, ripe: list[tuple[int, dict[str, Any]]], passed_us: int) -> Generator[tuple, None, Any]:
         raise NotImplementedError
 
-    def wake(self) -> int | None:
+    def wake(self, kept: Any) -> int | None:
         """When (in milliseconds) ``take`` wants to be called though no row may be waiting."""
         return None
 
-    def _order(self, entry: tuple) -> tuple:
-        names = ["us", *self.row_type.names]
-        return entry[0], *[_sortable(entry[names.index(t)]) for t in self.tie]
-
-    def _go_on(self, key: tuple, fresh: list[tuple], watermark_ms: int) -> Iterator[tuple]:
-        waiting = [tuple(x) for x in self.waiting.get()]
-        everything = waiting + fresh
-        ripe = sorted((x for x in everything if x[0] // 1000 < watermark_ms), key=self._order)
-        left = [x for x in everything if x[0] // 1000 >= watermark_ms]
-        if not ripe and waiting:
+    def _go_on(self, fresh: list[tuple], watermark_ms: int) -> Iterator[tuple]:
+        us, names = self.n_keys, self.row_type.names
+        known = self.due.get()
+        due = known[0] if known else None
+        soonest = min((x[us] // 1000 + 1 for x in fresh), default=None)
+        if min((d for d in (due, soonest) if d is not None), default=watermark_ms + 1) > watermark_ms:
             if fresh:
-                self.waiting.appendList(fresh)
-        elif left:
-            self.waiting.put(left)
-        elif waiting:
-            self.waiting.clear()
-        names = self.row_type.names
-        yield from self.take(key, [(x[0], dict(zip(names, x[1:], strict=True))) for x in ripe], watermark_ms * 1000)
-        due = [x[0] // 1000 + 1 for x in left]
-        if (wake := self.wake()) is not None:
-            due.append(wake)
-        if due:
-            self.handle.registerTimer(max(min(due), watermark_ms + 1))
+                self.waiting.appendList(_packed(fresh))
+                if due is None or soonest < due:
+                    self._call_at(soonest)
+            return
+        waiting, kept = _unpacked(self.waiting), {_name(k): (k, v) for k, v in _unpacked(self.kept)}
+        ripe, left = {}, []
+        for x in waiting + fresh:
+            if x[us] // 1000 < watermark_ms:
+                ripe.setdefault(_name(x[:us]), []).append(x)
+            else:
+                left.append(x)
+        ties = [us + 1 + names.index(t) for t in self.tie]
+        for name in [*ripe, *[n for n, (_, v) in kept.items() if n not in ripe and self._due(v, watermark_ms)]]:
+            rows = sorted(ripe.get(name, ()), key=lambda x: (x[us], *[_sortable(x[t]) for t in ties]))
+            key, value = kept.pop(name, None) or (rows[0][:us], None)
+            value = yield from self.take(key, value, [(x[us], dict(zip(names, x[us + 1 :], strict=True))) for x in rows], watermark_ms * 1000)
+            if value is not None:
+                kept[name] = key, value
+        _put(self.waiting, left, bool(waiting))
+        _put(self.kept, list(kept.values()), True)
+        times = [x[us] // 1000 + 1 for x in left]
+        times += [w for w in (self.wake(v) for _, v in kept.values()) if w is not None]
+        if times:
+            self._call_at(max(min(times), watermark_ms + 1))
+        else:
+            self.due.clear()
+
+    def _due(self, value: Any, watermark_ms: int) -> bool:
+        at = self.wake(value)
+        return at is not None and at <= watermark_ms
+
+    def _call_at(self, ms: int) -> None:
+        self.due.update((ms,))
+        self.handle.registerTimer(ms)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        fresh = [(r[_US], *[r[_ROW][n] for n in self.row_type.names]) for r in rows if r[_US] is not None]
-        yield from self.named(self._go_on(key, fresh, max(timerValues.getCurrentWatermarkInMs(), 0)))
+        # Columns of the group, the event time, the key, its microseconds and the row.
+        fresh = [x for x in (tuple(r)[2:] for r in rows) if x[self.n_keys] is not None]
+        yield from self.named(self._go_on(fresh, max(timerValues.getCurrentWatermarkInMs(), 0)))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        yield from self.named(self._go_on(key, [], max(timerValues.getCurrentWatermarkInMs(), 0)))
+        yield from self.named(self._go_on([], max(timerValues.getCurrentWatermarkInMs(), 0)))
+
+
+def _packed(rows: list) -> list[tuple[bytes]]:
+    return [(pickle.dumps(rows[i : i + ROWS_PER_VALUE]),) for i in range(0, len(rows), ROWS_PER_VALUE)]
+
+
+def _unpacked(state) -> list:
+    return [row for value in state.get() for row in pickle.loads(value[0])]
+
+
+def _put(state, rows: list, some: bool) -> None:
+    """Replace a list; ``some``: it may hold something."""
+    if rows:
+        state.put(_packed(rows))
+    elif some:
+        state.clear()
+
+
+def _name(key: tuple) -> tuple | str:
+    """What keys have in common that Spark calls equal; NaN is equal to itself there, and lists can be keys."""
+    return repr(tuple(k + 0.0 if isinstance(k, float) else k for k in key)) if any(isinstance(k, float | list | bytearray | tuple) for k in key) else key
 
 
 def _sortable(value: Any) -> tuple:
@@ -122,6 +172,18 @@ def _run(keyed: DataFrame, processor: StatefulProcessor, output: T.StructType, k
     return out.select(*[F.col(n).alias(k) for n, k in zip(names, keys, strict=True)], *output.names)
 
 
+def _run_in_order(keyed: DataFrame, processor: InOrder, output: T.StructType, keys: Sequence[str]) -> DataFrame:
+    """:func:`_run` for a processor that shares its state between the keys of a group."""
+    names, time = _key_names(keys), keyed.columns[len(keys)]
+    processor.names, processor.n_keys = [*names, *output.names], len(names)
+    shape = T.StructType([*[T.StructField(n, keyed.schema[n].dataType) for n in names], *output.fields])
+    group = F.pmod(F.xxhash64(*names) if names else F.lit(0), F.lit(GROUPS)).cast("int")
+    row = [F.col(_ROW).getField(n).alias(f"__row_{i}") for i, n in enumerate(processor.row_type.names)]
+    flat = keyed.select(group.alias("__group"), F.col(time), *names, _US, *row)
+    out = flat.groupBy("__group").transformWithState(processor, shape, "append", "EventTime")
+    return out.select(*[F.col(n).alias(k) for n, k in zip(names, keys, strict=True)], *output.names)
+
+
 # -- row patterns ---------------------------------------------------------------
 
 
@@ -132,18 +194,10 @@ class _Match(InOrder):
         super().__init__(row_type, tie)
         self.program, self.identity = program, identity
 
-    def open(self, handle) -> None:
-        id_type = self.row_type[self.identity].dataType
-        self.live = handle.getListState("live", T.StructType([
-            T.StructField("start_us", T.LongType()), T.StructField("start", id_type), T.StructField("states", T.StringType()),
-            T.StructField("length", T.IntegerType()), T.StructField("best", T.IntegerType()), T.StructField("best_id", id_type),
-        ]))
-
-    def take(self, key, ripe, passed_us):
+    def take(self, key, kept, ripe, passed_us):
         if not ripe:
-            return
-        live = [tuple(x) for x in self.live.get()]
-        matchers = [(s, i, Matcher(self.program, [int(p) for p in p_.split()], n, b, b_id)) for s, i, p_, n, b, b_id in live]
+            return kept
+        matchers = [(s, i, Matcher(self.program, list(states), n, b, b_id)) for s, i, states, n, b, b_id in kept or ()]
         for us, row in ripe:
             matchers.append((us, row[self.identity], Matcher(self.program)))
             still = []
@@ -153,11 +207,7 @@ class _Match(InOrder):
                 elif m.best:
                     yield *key, start_us, start, m.best_mark, m.best
             matchers = still
-        kept = [(s, i, " ".join(map(str, m.states)), m.length, m.best, m.best_mark) for s, i, m in matchers]
-        if kept:
-            self.live.put(kept)
-        elif live:
-            self.live.clear()
+        return [(s, i, list(m.states), m.length, m.best, m.best_mark) for s, i, m in matchers] or None
 
 
 def match_rows_stream(
@@ -183,7 +233,7 @@ def match_rows_stream(
         T.StructField("start_us", T.LongType()), T.StructField(identity, id_type),
         T.StructField("last_" + identity, id_type), T.StructField("match_length", T.IntegerType()),
     ])
-    return _run(keyed, _Match(row_type, [t for t in tie if t != time], program, identity), output, keys)
+    return _run_in_order(keyed, _Match(row_type, [t for t in tie if t != time], program, identity), output, keys)
 
 
 # -- duplicates -------------------------------------------------------------------
@@ -194,26 +244,17 @@ class _Suppress(InOrder):
         super().__init__(row_type, tie)
         self.within_us = within_us
 
-    def open(self, handle) -> None:
-        self.last = handle.getValueState("last", T.StructType([T.StructField("us", T.LongType())]))
-
-    def take(self, key, ripe, passed_us):
-        held = self.last.get() if self.last.exists() else None
-        last = held[0] if held else None
+    def take(self, key, kept, ripe, passed_us):
+        last = kept
         for us, row in ripe:
             if last is None or us - last > self.within_us:
                 yield *key, us, *row.values()
             last = us
-        if last is not None and last + self.within_us < passed_us:
-            last = None  # whatever comes now is far enough from it
-        if last is None and held:
-            self.last.clear()
-        elif last is not None:
-            self.last.update((last,))
-        self.until = None if last is None else (last + self.within_us) // 1000 + 1
+        # Whatever comes once the watermark is past its reach is far enough from it.
+        return None if last is None or last + self.within_us < passed_us else last
 
-    def wake(self):
-        return self.until
+    def wake(self, kept):
+        return (kept + self.within_us) // 1000 + 1
 
 
 def suppress_repeats_stream(
@@ -229,7 +270,7 @@ def suppress_repeats_stream(
     keyed = _keyed(df, keys, time, [F.col(c) for c in dict.fromkeys([*columns, *tie])], lateness)
     row_type = _field(keyed, _ROW)
     output = T.StructType([T.StructField("us", T.LongType()), *row_type.fields])
-    out = _run(keyed, _Suppress(row_type, tie, within_us), output, keys)
+    out = _run_in_order(keyed, _Suppress(row_type, tie, within_us), output, keys)
     return out.select(*keys, "us", *columns)
 
 
@@ -243,14 +284,8 @@ class _Running(InOrder):
         super().__init__(row_type, tie)
         self.folds, self.columns = folds, list(columns)
 
-    def open(self, handle) -> None:
-        fields = [T.StructField(n, self.row_type[n].dataType) for n in self.folds]
-        self.totals = handle.getValueState("totals", T.StructType([T.StructField("__n", T.LongType()), *fields]))
-
-    def take(self, key, ripe, passed_us):
-        if not ripe:
-            return
-        n, *held = self.totals.get() if self.totals.exists() else (0, *[None] * len(self.folds))
+    def take(self, key, kept, ripe, passed_us):
+        n, *held = kept or (0, *[None] * len(self.folds))
         for us, row in ripe:
             n += 1
             for i, (name, fold) in enumerate(self.folds.items()):
@@ -260,7 +295,7 @@ class _Running(InOrder):
                 else:
                     held[i] = held[i] + new if fold == "sum" else max(held[i], new) if fold == "max" else min(held[i], new)
             yield *key, us, n, *[row[c] for c in self.columns], *held
-        self.totals.update((n, *held))
+        return n, *held
 
 
 def running_totals_stream(
@@ -282,7 +317,7 @@ def running_totals_stream(
     row_type = _field(keyed, _ROW)
     outs = [T.StructField(n, row_type[n].dataType) for n in [*columns, *named]]
     output = T.StructType([T.StructField("us", T.LongType()), T.StructField("n", T.LongType()), *outs])
-    return _run(keyed, _Running(row_type, tie, {n: fold for n, (_, fold) in named.items()}, columns), output, keys)
+    return _run_in_order(keyed, _Running(row_type, tie, {n: fold for n, (_, fold) in named.items()}, columns), output, keys)
 
 
 class _LastRows(InOrder):
@@ -292,20 +327,14 @@ class _LastRows(InOrder):
         super().__init__(row_type, tie)
         self.size, self.columns = size, list(columns)
 
-    def open(self, handle) -> None:
-        fields = [self.row_type[c] for c in self.columns]
-        self.rows = handle.getListState("rows", T.StructType([T.StructField("us", T.LongType()), *fields]))
-
-    def take(self, key, ripe, passed_us):
-        if not ripe:
-            return
-        window = [tuple(x) for x in self.rows.get()]
+    def take(self, key, kept, ripe, passed_us):
+        window = kept or []
         for us, row in ripe:
             window.append((us, *[row[c] for c in self.columns]))
             if len(window) > self.size:
                 gone = window.pop(0)
                 yield *key, us, *gone
-        self.rows.put(window)
+        return window
 
 
 def length_window_stream(
@@ -322,7 +351,7 @@ def length_window_stream(
     keyed = _keyed(df, keys, time, [F.col(c) for c in dict.fromkeys([*columns, *tie])], lateness)
     row_type = _field(keyed, _ROW)
     output = T.StructType([T.StructField("left_us", T.LongType()), T.StructField("us", T.LongType()), *[row_type[c] for c in columns]])
-    return _run(keyed, _LastRows(row_type, tie, size, columns), output, keys)
+    return _run_in_order(keyed, _LastRows(row_type, tie, size, columns), output, keys)
 
 
 # -- expiry and output rate ---------------------------------------------------------

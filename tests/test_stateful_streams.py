@@ -7,6 +7,7 @@ import re
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lumberline.operators import sequence, windows
 from lumberline.session import fresh_path
@@ -230,3 +231,65 @@ def test_lines_with_clashing_columns_are_an_error(spark):
     df = spark.createDataFrame([(1, "a", 2)], "at long, text string, entry int")
     with pytest.raises(ValueError, match="entry"):
         sequence.assemble_lines(df, [], "at", "text", F.lit(True), max_chars=5)
+
+
+def test_calls_on_the_state_do_not_grow_with_the_keys():
+    """A thousand keys of one group cost as many calls on its state as one key."""
+
+    class State(list):
+        calls = 0
+
+        def get(self):
+            State.calls += 1
+            return list(self) if self.many else self[0] if self else None
+
+        def put(self, values):
+            State.calls += 1
+            self[:] = values
+
+        update = lambda self, value: self.put([value])
+        clear = lambda self: self.put([])
+
+        def appendList(self, values):
+            self.put([*self, *values])
+
+        def __init__(self, many):
+            self.many = many
+
+    class Handle:
+        getListState = lambda self, name, schema: State(True)
+        getValueState = lambda self, name, schema: State(False)
+
+        def registerTimer(self, ms):
+            State.calls += 1
+
+    class Clock:
+        def __init__(self, ms):
+            self.getCurrentWatermarkInMs = lambda: ms
+
+    def run(n):
+        State.calls = 0
+        of = st._Suppress(T.StructType([T.StructField("id", T.LongType())]), ["id"], 10 * SECOND)
+        of.names, of.n_keys = ["key", "us", "id"], 1
+        of.init(Handle())
+        rows = [(0, None, k, t * SECOND, t) for k in range(n) for t in (25, 1, 8)] + [(0, None, 0, None, 9)]
+        out = [*of.handleInputRows(0, iter(rows), Clock(0)), *of.handleExpiredTimer(0, Clock(9_000), None)]
+        assert sorted((r["key"], r["id"]) for r in out) == [(k, 1) for k in range(n)]
+        out = list(of.handleExpiredTimer(0, Clock(26_000), None))
+        assert sorted((r["key"], r["id"]) for r in out) == [(k, 25) for k in range(n)]
+        assert not list(of.handleExpiredTimer(0, Clock(90_000), None)) and not of.kept and not of.waiting and not of.due
+        return State.calls
+
+    assert run(1000) == run(1) < 30
+
+
+@pytest.mark.parametrize("keys", [["number"], ["key", "number"], []])
+def test_keys_of_one_group_stay_apart(spark, source, keys, monkeypatch):
+    """All keys in one group, NaN and both zeros among them, give each row the number that its own key counts."""
+    passed, stream, _ = source
+    monkeypatch.setattr(st, "GROUPS", 1)
+    number = F.expr("CASE id % 4 WHEN 0 THEN double('NaN') WHEN 1 THEN -0.0D WHEN 2 THEN 0.0D END").alias("number")
+    totals = st.running_totals_stream(stream().select("*", number), keys, "time", ["id"], tie=["id"])
+    order = Window.partitionBy(*keys).orderBy("us", "id")
+    expected = passed.select("*", number).withColumn("n", F.row_number().over(order))
+    assert rows_of(drain(spark, totals, "grouped"), "id", "us", "n") == rows_of(expected, "id", "us", "n")
